@@ -202,6 +202,7 @@ def group_tables(entries: DataFrame, settled: DataFrame) -> tuple[DataFrame, Dat
             F.sum(held).alias("held"),
             F.min_by(held, "first_name").alias("first_held"),
             F.min("first_name").alias("first_entry"),
+            F.sum("names").alias("names"),
             F.count(download).alias("download_objects"),
             F.coalesce(F.sum(download), F.lit(0)).alias("bytes_to_settle"),
         )
@@ -216,6 +217,7 @@ def group_tables(entries: DataFrame, settled: DataFrame) -> tuple[DataFrame, Dat
     groups = groups.join(checked, ["logical_size", "tier"], "left").select(
         *GROUP_KEYS,
         "objects",
+        "names",
         F.when(F.col("tier") == 0, F.col("held") - F.col("first_held"))
         .otherwise(F.lit(0))
         .cast("long")
@@ -276,6 +278,7 @@ def analysis_of(entries: DataFrame, settled: DataFrame) -> Analysis:
         F.when(F.col("tier") == 0, F.col("digest")).alias("digest"),
         "logical_size",
         "objects",
+        "names",
         "reclaimable_bytes",
         "settled_of_same_size",
         "first_entry",
