@@ -102,19 +102,20 @@ def candidates(entries: DataFrame, depth: str = "duplicates") -> DataFrame:
     )
 
 
-def digest_entries(content: DataFrame, wanted: DataFrame, digest: Column) -> DataFrame:
+def digest_entries(
+    content: DataFrame, wanted: DataFrame, digest: Column, limit: int = scale.BROADCAST_ROWS
+) -> DataFrame:
     """Digest the wanted entries of a content table (entry_id, content).
 
     A wanted list of bounded size filters the scan; beyond that every row is
     digested where it is read and only (id, digest) is shuffled to the join.
     """
     rows = content.select("entry_id", "content")
-    kept = scale.semi_by_size(rows, wanted, ["entry_id"])
-    if kept is not None:
+    ids = wanted.select("entry_id")
+    if scale.is_small(ids, limit):
+        kept = rows.join(F.broadcast(ids), "entry_id", "left_semi")
         return kept.select("entry_id", digest.alias("digest"))
-    return rows.select("entry_id", digest.alias("digest")).join(
-        wanted.select("entry_id"), "entry_id", "left_semi"
-    )
+    return rows.select("entry_id", digest.alias("digest")).join(ids, "entry_id", "left_semi")
 
 
 def sample_pass(

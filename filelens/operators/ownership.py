@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filelens.functions import classify, paths, wording
 from filelens.operators import scale
+from filelens.session import pin
 
 # Up to this many prefixes are matched in place against each row; more are
 # matched by joining on the ancestors of distinct folders.
@@ -61,7 +62,7 @@ def longest_root(
         "machine", "_parent", F.explode(paths.self_and_ancestors(F.col("_parent"))).alias("_folder")
     )
     owned = (
-        above.join(keyed, ["machine", "_folder"])
+        scale.look_up(above, keyed, ["machine", "_folder"], "_parent", "inner")
         .groupBy("machine", "_parent")
         .agg(F.max_by("_root", F.length("_folder")).alias("_above"))
     )
@@ -105,14 +106,14 @@ def classified(
 
 def links_at_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Symbolic links directly inside a root, relative targets made absolute."""
-    links = entries.where("kind = 'symlink' and link_target is not null").withColumn(
-        "_root", paths.parent(F.col("path"))
+    links = entries.where("kind = 'symlink' and link_target is not null").select(
+        "machine", "entry_id", "path", "link_target", paths.parent(F.col("path")).alias("_root")
     )
     target = F.when(F.startswith("link_target", F.lit("/")), F.col("link_target")).otherwise(
         paths.join(F.col("_root"), F.col("link_target"))
     )
     named = roots.select("machine", F.col("path").alias("_root"), "provider")
-    return links.drop("cloud").join(named, ["machine", "_root"]).select(
+    return scale.look_up(links, named, ["machine", "_root"], "entry_id", "inner").select(
         "machine", F.col("path").alias("link"), target.alias("target"), "provider"
     )
 
@@ -134,20 +135,20 @@ def link_verdicts(links: DataFrame, entries: DataFrame, ignored: DataFrame) -> D
         .distinct()
         .withColumn("marked", F.lit(True))
     )
+    marked = pin(marked)
     excluded = ignored.select("machine", "link").distinct().withColumn("excluded", F.lit(True))
-    return (
-        links.join(excluded, ["machine", "link"], "left")
-        .join(marked, ["machine", "target"], "left")
-        .select(
-            "machine",
-            "link",
-            "target",
-            "provider",
-            F.when(F.col("excluded"), F.lit("excluded_by_provider"))
-            .when(F.col("marked"), F.lit("provider_owned"))
-            .otherwise(F.lit("unsettled"))
-            .alias("verdict"),
-        )
+    known = scale.look_up(
+        links.join(excluded, ["machine", "link"], "left"), marked, ["machine", "target"], "link"
+    )
+    return known.select(
+        "machine",
+        "link",
+        "target",
+        "provider",
+        F.when(F.col("excluded"), F.lit("excluded_by_provider"))
+        .when(F.col("marked"), F.lit("provider_owned"))
+        .otherwise(F.lit("unsettled"))
+        .alias("verdict"),
     )
 
 
@@ -186,7 +187,8 @@ def mac_roots(entries: DataFrame, homes: DataFrame) -> DataFrame:
         "link_target",
         paths.parent(F.col("path")).alias("folder"),
         paths.file_name(F.col("path")).alias("name"),
-    ).join(F.broadcast(homes), "machine")
+    )
+    inside = scale.look_up(inside, homes, ["machine"], "path", "inner")
     name, folder, kind = F.col("name"), F.col("folder"), F.col("kind")
     icloud = folder == at(ICLOUD_FOLDER)
     mount = folder == at(FILE_PROVIDER_FOLDER)
@@ -238,7 +240,7 @@ def windows_roots(entries: DataFrame, homes: DataFrame, variables: DataFrame) ->
     )
     named = (
         folders.withColumn("home", paths.parent(F.col("path")))
-        .join(F.broadcast(homes), ["machine", "home"], "left_semi")
+        .join(homes, ["machine", "home"], "left_semi")
         .withColumn("name", paths.file_name(F.col("path")))
         .where(F.col("name").isin(*WINDOWS_FOLDERS))
         .select(

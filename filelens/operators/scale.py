@@ -123,11 +123,31 @@ def is_small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return frame.limit(limit + 1).count() <= limit
 
 
-def semi_by_size(
-    many: DataFrame, wanted: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
-) -> DataFrame | None:
-    """Keep ``many`` rows with a key in ``wanted`` by broadcasting the keys, or
-    ``None`` when ``wanted`` is too large to broadcast."""
-    if not is_small(wanted, limit):
-        return None
-    return many.join(F.broadcast(wanted.select(*keys)), list(keys), "left_semi")
+def join_counted(
+    many: DataFrame,
+    one: DataFrame,
+    keys: Sequence[str],
+    spread_by: str,
+    how: str = "inner",
+) -> DataFrame:
+    """``join_hot`` where nobody knows yet how many rows each key has."""
+    rows = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = one.join(rows, list(keys))
+    joined = join_hot(many, counted, keys, "_rows", spread_by, how)
+    return joined.drop("_rows")
+
+
+def look_up(
+    many: DataFrame,
+    one: DataFrame,
+    keys: Sequence[str],
+    spread_by: str,
+    how: str = "left",
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join many rows to a unique-key side that is usually small: broadcast it
+    behind a check of its size, otherwise join by counted slices. ``one`` should
+    be cheap to count."""
+    if is_small(one, limit):
+        return many.join(F.broadcast(one), list(keys), how)
+    return join_counted(many, one, keys, spread_by, how)

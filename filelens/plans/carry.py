@@ -9,6 +9,7 @@ once, and linked ones in as many rounds as their links are deep.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from filelens import schema
 from filelens.functions import paths
 from filelens.functions import content as digests
+from filelens.operators import scale
 from filelens.operators.duplicates import digest_entries
 from filelens.operators.ownership import longest_root
 from filelens.plans.preflight import UNREADABLE, looked_at, with_looks
@@ -31,7 +33,7 @@ class Run:
 def _trouble_at_source(moves: DataFrame, observed: DataFrame, content: DataFrame | None):
     """Add ``own``: what a fresh look at the source holds against a move. Only
     content is compared, and only where it was recorded."""
-    rows = with_looks(moves, observed, {"from_path": "source"})
+    rows = with_looks(moves, observed, {"from_path": "source"}, "seq")
     if content is None:
         rows = rows.withColumn("actual", F.col("content"))
     else:
@@ -65,107 +67,118 @@ def _links(moves: DataFrame, observed: DataFrame) -> DataFrame:
     ``filled``: an earlier folder move brings something to the destination.
     """
     able = moves.where("own is null")
-    earlier = able.select(
+    movers = able.select(
         "machine",
         F.col("seq").alias("by"),
         F.col("from_path").alias("by_from"),
         F.col("to_path").alias("by_to"),
-        F.col("is_folder").alias("by_folder"),
-    )
-    from_above = able.select(
-        "machine", "seq", "from_path", F.explode(paths.self_and_ancestors(F.col("from_path"))).alias("at")
-    )
-    to_above = able.select(
-        "machine", "seq", "to_path", F.explode(paths.self_and_ancestors(F.col("to_path"))).alias("at")
+        "is_folder",
     )
-    left = earlier.withColumn("at", F.col("by_from"))
-    reached = earlier.where("by_folder").withColumn("at", F.col("by_to"))
+    folders = pin(movers.where("is_folder").drop("is_folder"))
     before = F.col("by") < F.col("seq")
-    gone = (
-        from_above.join(left, ["machine", "at"])
-        .where(before & (F.col("by_folder") | (F.col("at") == F.col("from_path"))))
-        .select("seq", "by", F.lit("gone").alias("how"))
-    )
-    freed = (
-        to_above.join(left, ["machine", "at"])
-        .where(before & (F.col("by_folder") | (F.col("at") == F.col("to_path"))))
-        .select("seq", "by", F.lit("freed").alias("how"))
-    )
-    arriving = (
-        to_above.join(reached, ["machine", "at"])
-        .where(before & (F.col("at") != F.col("to_path")))
-        .withColumn("path", paths.rebase(F.col("to_path"), F.col("by_to"), F.col("by_from")))
+
+    def above(column: str, at: str) -> DataFrame:
+        """Moves whose path lies strictly below an earlier folder move's path."""
+        points = able.select(
+            "machine", "seq", column, F.explode(paths.ancestors(F.col(column))).alias(at)
+        )
+        one = folders.groupBy("machine", at).agg(
+            F.min("by").alias("by"), F.min_by("by_from", "by").alias("first_from"),
+            F.min_by("by_to", "by").alias("first_to"),
+        )
+        return scale.look_up(points, one, ["machine", at], "seq", "inner").where(before)
+
+    def at_same(column: str) -> DataFrame:
+        """Moves whose path is exactly where an earlier move starts."""
+        starts = movers.groupBy("machine", F.col("by_from").alias(column)).agg(
+            F.min("by").alias("by")
+        )
+        points = able.select("machine", "seq", column)
+        return scale.join_counted(points, starts, ["machine", column], "seq").where(before)
+
+    link = lambda frame, how: frame.select("seq", "by", F.lit(how).alias("how"))
+    arriving = above("to_path", "by_to").withColumn(
+        "path", paths.rebase(F.col("to_path"), F.col("by_to"), F.col("first_from"))
     )
-    existing = looked_at(observed, arriving.select("machine", "path")).select("machine", "path")
-    filled = arriving.join(existing, ["machine", "path"], "left_semi").select(
-        "seq", "by", F.lit("filled").alias("how")
+    places = arriving.select("machine", "path").distinct()
+    existing = looked_at(observed, places).where("seen is not null").select("machine", "path")
+    filled = scale.join_counted(arriving, existing, ["machine", "path"], "seq", "left_semi")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            link(above("from_path", "by_from"), "gone"),
+            link(at_same("from_path"), "gone"),
+            link(above("to_path", "by_from"), "freed"),
+            link(at_same("to_path"), "freed"),
+            link(filled, "filled"),
+        ],
     )
-    return gone.unionByName(freed).unionByName(filled)
 
 
 def carry_out(moves: DataFrame, observed: DataFrame) -> DataFrame:
     """Add ``done`` and ``reason`` to ordered moves (seq, machine, from_path,
     to_path, is_folder, own, detail). Of several moves to one place the first that
     can be made is made; nothing is ever written over."""
-    moves = pin(with_looks(moves, observed, {"to_path": "there"}))
+    moves = pin(with_looks(moves, observed, {"to_path": "there"}, "seq"))
     links = pin(_links(moves, observed))
+    bearing = links.groupBy("by").agg(F.count(F.lit(1)).alias("_rows"))
     claim = ["machine", "to_path"]
+    how, able, seq = F.col("how"), F.col("able"), F.col("seq")
     decided = None
-    pending = moves.withColumn("_won", F.lit(False))
+    pending = moves.withColumn("won", F.lit(False))
     while True:
         if decided is None:
-            settled_links = links.withColumn("by_done", F.lit(None).cast("boolean"))
+            known = links.withColumn("by_done", F.lit(None).cast("boolean"))
         else:
             state = decided.select(F.col("seq").alias("by"), F.col("done").alias("by_done"))
-            settled_links = links.join(state, "by", "left")
-        how = F.col("how")
-        facts = settled_links.groupBy("seq").agg(
+            known = scale.join_hot(links, state.join(bearing, "by"), ["by"], "_rows", "seq", "left")
+        did = lambda what: F.coalesce(
+            F.bool_or((how == what) & F.col("by_done")), F.lit(False)
+        ).alias(what)
+        facts = known.groupBy("seq").agg(
             F.count_if(F.col("by_done").isNull()).alias("open"),
-            F.coalesce(F.bool_or((how == "gone") & F.col("by_done")), F.lit(False)).alias("gone"),
-            F.coalesce(F.bool_or((how == "freed") & F.col("by_done")), F.lit(False)).alias("freed"),
-            F.coalesce(F.bool_or((how == "filled") & F.col("by_done")), F.lit(False)).alias("filled"),
+            did("gone"),
+            did("freed"),
+            did("filled"),
         )
         looked = pending.join(facts, "seq", "left").na.fill(False, ["gone", "freed", "filled"])
-        blocked = F.col("own").isNotNull()
         looked = looked.withColumn(
             "able",
-            F.when(blocked, F.lit(False))
+            F.when(F.col("own").isNotNull(), F.lit(False))
             .when(F.coalesce("open", F.lit(0)) > 0, F.lit(None))
             .otherwise(
                 ~F.col("gone")
-                & ~F.col("_won")
+                & ~F.col("won")
                 & ~F.col("filled")
                 & (F.col("there").isNull() | F.col("freed"))
             ),
         )
         claims = looked.groupBy(*claim).agg(
-            F.min(F.when(F.col("able"), F.col("seq"))).alias("winner"),
-            F.min(F.when(F.col("able").isNull(), F.col("seq"))).alias("first_open"),
+            F.min(F.when(able, seq)).alias("winner"),
+            F.min(F.when(able.isNull(), seq)).alias("first_open"),
+            F.count(F.lit(1)).alias("_rows"),
         )
-        ready = F.col("able").isNotNull() & (
-            ~F.col("able") | F.col("first_open").isNull() | (F.col("first_open") > F.col("winner"))
+        taken = F.col("winner").isNotNull() & (
+            F.col("first_open").isNull() | (F.col("first_open") > F.col("winner"))
         )
         round_ = pin(
-            looked.join(claims, claim).withColumn("ready", ready)
+            scale.join_hot(looked, claims, claim, "_rows", "seq")
+            .withColumn("taken", taken)
+            .withColumn("ready", able.isNotNull() & (~able | F.col("taken")))
         )
         now = round_.where("ready").select(
             *moves.columns,
-            (F.col("able") & (F.col("seq") == F.col("winner"))).alias("done"),
+            (able & (seq == F.col("winner"))).alias("done"),
             F.when(F.col("own").isNotNull(), F.col("own"))
             .when(F.col("gone"), F.lit("source_missing"))
-            .when(~F.col("able") | (F.col("seq") != F.col("winner")), F.lit("destination_occupied"))
+            .when(~able | (seq != F.col("winner")), F.lit("destination_occupied"))
             .alias("reason"),
         )
         decided = now if decided is None else decided.unionByName(now)
-        won = round_.where("ready and able").select(*claim).distinct()
-        pending = (
-            round_.where("not ready")
-            .select(*moves.columns, F.col("_won").alias("_before"))
-            .join(won.withColumn("_now", F.lit(True)), claim, "left")
-            .withColumn("_won", F.col("_before") | F.coalesce("_now", F.lit(False)))
-            .drop("_before", "_now")
+        pending = round_.where("not ready").select(
+            *moves.columns, (F.col("won") | F.col("taken")).alias("won")
         )
-        if round_.where("not ready").isEmpty():
+        if pending.isEmpty():
             return decided
 
 
@@ -217,7 +230,10 @@ def apply_snapshot(
     if operations.isEmpty():
         raise ValueError("nothing passed preflight, so there is nothing to carry out")
     making = with_looks(
-        operations.where("kind = 'create_directory'"), observed, {"destination": "there"}
+        operations.where("kind = 'create_directory'"),
+        observed,
+        {"destination": "there"},
+        "position",
     )
     blocked = F.col("there").isNotNull() & (F.col("there.kind") != "directory")
     made = making.withColumn("blocked", blocked)
@@ -313,7 +329,7 @@ def undo_snapshot(steps: DataFrame, observed: DataFrame, strict_parity: bool = F
     )
     if back.isEmpty():
         raise ValueError("this run changed nothing, so there is nothing to put back")
-    back = with_looks(back, observed, {"from_path": "source"})
+    back = with_looks(back, observed, {"from_path": "source"}, "seq")
     moves = back.select(
         "seq",
         "operation",

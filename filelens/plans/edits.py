@@ -67,6 +67,7 @@ def in_the_way(entries: DataFrame, edits: DataFrame) -> DataFrame:
         .where("_name is not null")
         .distinct()
     )
+    names = pin(names)
     folders = (
         edits.where("path is not null").select("machine", subject.alias("_in"))
         .unionByName(
@@ -77,14 +78,18 @@ def in_the_way(entries: DataFrame, edits: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_used", F.lit(True))
     )
+    folders = pin(folders)
     moving = named.where("kind = 'directory'").select("machine", "path").distinct()
-    near = (
-        entries.select("machine", "entry_id", "path", "kind")
-        .withColumn("_name", paths.file_name(subject))
-        .withColumn("_in", paths.parent(subject))
-        .join(names, ["machine", "_name"], "left_semi")
-        .join(folders, ["machine", "_in"], "left")
+    near = entries.select(
+        "machine",
+        "entry_id",
+        "path",
+        "kind",
+        paths.file_name(subject).alias("_name"),
+        paths.parent(subject).alias("_in"),
     )
+    near = scale.look_up(near, names, ["machine", "_name"], "entry_id", "left_semi")
+    near = scale.look_up(near, folders, ["machine", "_in"], "entry_id", "left")
     near = longest_root(near, moving, []).where("_used or owner is not null")
     return near.select("machine", "entry_id", "path", "kind").unionByName(named).distinct()
 

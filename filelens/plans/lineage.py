@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filelens import schema
+from filelens.operators import scale
 from filelens.session import pin
 
 # Per stage its input kind, output kind, whether it changes a
@@ -114,9 +115,10 @@ def chain_audit(headers: DataFrame, supplied: DataFrame) -> DataFrame:
     )
     kinds = headers.select(F.col("content_digest").alias("digest"), F.col("kind").alias("given_kind"))
     expected = rows.select(F.col("content_digest").alias("child"), "input_kind")
+    expected = expected.join(given.withColumnRenamed("content_digest", "child"), "child")
+    of_kind = scale.join_counted(supplied, kinds, ["digest"], "child")
     kind_off = (
-        supplied.join(kinds, "digest")
-        .join(expected, "child")
+        scale.join_hot(of_kind, expected, ["child"], "given", "digest")
         .where("input_kind is not null and given_kind <> input_kind")
         .select(
             F.col("child").alias("artifact"), F.lit("wrong_input_kind").alias("violation"), "ordinal"

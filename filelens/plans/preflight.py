@@ -19,7 +19,9 @@ UNREADABLE = "content could not be read"
 
 
 def looked_at(observed: DataFrame, places: DataFrame) -> DataFrame:
-    """What a snapshot says about some (machine, path) places, one row each.
+    """Add ``seen``, what a snapshot says, to places unique by (machine, path);
+    null where nothing is there. Overlapping scan roots repeat rows, so the first
+    row of a path counts.
 
     ``observed`` is an inventory, optionally with a ``refusal`` column naming why
     a place could not be looked at.
@@ -33,25 +35,50 @@ def looked_at(observed: DataFrame, places: DataFrame) -> DataFrame:
         classify.read_may_download(F.col("cloud.residency")).alias("may_download"),
         refusal.alias("refusal"),
     )
-    wanted = places.where("path is not null").distinct()
-    return (
+    seen = (
         observed.select("machine", "path", "entry_id", facts.alias("seen"))
-        .join(wanted, ["machine", "path"], "left_semi")
+        .join(places.select("machine", "path"), ["machine", "path"], "left_semi")
         .groupBy("machine", "path")
         .agg(F.min_by("seen", "entry_id").alias("seen"))
     )
+    return places.join(seen, ["machine", "path"], "left")
+
 
+def with_looks(
+    frame: DataFrame,
+    observed: DataFrame,
+    looks: dict[str, str],
+    spread_by: str,
+    marks: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Add what a snapshot says about several path columns: {path column: name}.
 
-def with_looks(frame: DataFrame, observed: DataFrame, looks: dict[str, str]) -> DataFrame:
-    """Add what a snapshot says about several path columns: {path column: name}."""
-    places = reduce(
+    Places are counted before they are looked at, so a folder many rows point into
+    is looked at once and joined back in slices. ``marks`` are sets of (machine,
+    path); each becomes a flag ``name_mark`` of every look.
+    """
+    counted = reduce(
         DataFrame.unionByName,
-        [frame.select("machine", F.col(c).alias("path")) for c in looks],
+        [
+            frame.where(F.col(c).isNotNull())
+            .groupBy("machine", F.col(c).alias("path"))
+            .agg(F.count(F.lit(1)).alias("_rows"))
+            for c in looks
+        ],
     )
+    places = counted.groupBy("machine", "path").agg(F.max("_rows").alias("_rows"))
     seen = looked_at(observed, places)
+    for mark, paths_marked in (marks or {}).items():
+        flag = paths_marked.select("machine", "path").distinct().withColumn(mark, F.lit(True))
+        seen = seen.join(flag, ["machine", "path"], "left")
     for column, name in looks.items():
-        view = seen.select("machine", F.col("path").alias(column), F.col("seen").alias(name))
-        frame = frame.join(view, ["machine", column], "left")
+        flags = [F.coalesce(m, F.lit(False)).alias(f"{name}_{m}") for m in marks or {}]
+        view = seen.select(
+            "machine", F.col("path").alias(column), F.col("seen").alias(name), *flags, "_rows"
+        )
+        frame = scale.join_hot(
+            frame, view, ["machine", column], "_rows", spread_by, "left"
+        ).drop("_rows")
     return frame
 
 
@@ -81,20 +108,16 @@ def preflight(
     if rigour not in RIGOURS or (rigour == "content") != (content is not None):
         raise ValueError(f"rigour is one of {RIGOURS}; 'content' needs a content table")
     making = operations.where("kind = 'create_directory'")
-    will_exist = making.select(
-        "machine", F.col("destination").alias("into"), F.lit(True).alias("made")
-    ).distinct()
-    leaving = (
-        operations.where("subject_path is not null")
-        .select("machine", F.col("subject_path").alias("destination"), F.lit(True).alias("vacated"))
-        .distinct()
+    made = making.select("machine", F.col("destination").alias("path"))
+    leaving = operations.where("subject_path is not null").select(
+        "machine", F.col("subject_path").alias("path")
     )
-    rows = operations.withColumn("into", paths.parent(F.col("destination")))
     rows = with_looks(
-        rows, observed, {"subject_path": "source", "destination": "there", "into": "folder"}
-    )
-    rows = rows.join(will_exist, ["machine", "into"], "left").join(
-        leaving, ["machine", "destination"], "left"
+        operations.withColumn("into", paths.parent(F.col("destination"))),
+        observed,
+        {"subject_path": "source", "destination": "there", "into": "folder"},
+        "position",
+        {"made": made, "vacated": leaving},
     )
     differs = (
         (F.col("logical_size") != F.col("source.logical_size"))
@@ -128,7 +151,7 @@ def preflight(
     )
     creates = F.col("kind") == "create_directory"
     has_place = F.col("destination").isNotNull()
-    reachable = F.col("into").isNull() | F.coalesce("made", F.lit(False))
+    reachable = F.col("into").isNull() | F.coalesce("folder_made", F.lit(False))
     outcome = (
         F.when(creates & F.col("there").isNull(), passed)
         .when(creates & _refused("there"), fail(F.col("there.refusal")))
@@ -144,7 +167,7 @@ def preflight(
         )
         .when(has_place & _refused("there"), hold(F.col("there.refusal")))
         .when(
-            has_place & F.col("there").isNotNull() & F.col("vacated").isNull(),
+            has_place & F.col("there").isNotNull() & ~F.col("there_vacated"),
             hold(F.lit("destination_occupied")),
         )
         .when(~has_place | reachable, passed)

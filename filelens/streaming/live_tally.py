@@ -39,6 +39,13 @@ def _newer(
     yield pd.DataFrame(out, columns=["sequence", "progress", "steps", "freed"])
 
 
+def _latest_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keep each step's latest record before the shuffle, so that a step recorded
+    very often sends one row per batch to the task that holds its state."""
+    for rows in batches:
+        yield rows.sort_values(["attempt", "at_micros"]).drop_duplicates("sequence", keep="last")
+
+
 def changes(steps: DataFrame) -> DataFrame:
     """Differences to the tally as a stream of steps arrives. A ``frees_bytes``
     column prices a step; only done steps free anything."""
@@ -50,7 +57,8 @@ def changes(steps: DataFrame) -> DataFrame:
         "progress",
         F.when(F.col("progress") == "done", price).otherwise(F.lit(0)).cast("long").alias("freed"),
     )
-    return priced.groupBy("sequence").applyInPandasWithState(
+    fewer = priced.mapInPandas(_latest_in_batch, priced.schema)
+    return fewer.groupBy("sequence").applyInPandasWithState(
         _newer, CHANGE, HELD, "append", GroupStateTimeout.NoTimeout
     )
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from filelens import schema
 from filelens.functions import classify, paths, sizes, wording
-from filelens.operators import compare, duplicates, ownership, summaries, survey
+from filelens.operators import compare, duplicates, ownership, scale, summaries, survey
 from filelens.plans import carry, edits, lineage, plan, preflight
-from filelens.session import pin, shared_dir
+from filelens.session import pin
 from filelens.sources import artifacts, journal, ndjson
 from filelens.streaming import live_tally
 from parity import tables, views
@@ -468,16 +468,20 @@ SELECT k.* FROM ({LINKS}) k WHERE NOT EXISTS (SELECT 1 FROM v_root o WHERE o.mac
   AND (k.target = o.path OR starts_with(k.target, o.path || '/')))"""
 VERDICTS = f"""
 SELECT k.machine, k.link, k.target, k.provider,
-  CASE WHEN (k.entry_id - {tables.FIRST_LINK}) % 3 = 0 THEN 'excluded_by_provider'
+  CASE WHEN EXISTS (SELECT 1 FROM pages p WHERE p.page_id + {tables.FIRST_LINK} = k.entry_id
+      AND starts_with(p.url, 'https')) THEN 'excluded_by_provider'
     WHEN EXISTS (SELECT 1 FROM v_marker m WHERE m.machine = k.machine
       AND m.path = k.target || '/.dropbox.cache') THEN 'provider_owned' ELSE 'unsettled' END AS verdict
 FROM ({OUTWARD}) k"""
 
 
 def ignored_links(t: Given) -> DataFrame:
-    """Links carrying the provider's ignore attribute, as scan evidence."""
-    page = F.col("entry_id") - tables.FIRST_LINK
-    return t.entries.where("kind = 'symlink'").where(F.pmod(page, F.lit(3)) == 0).select(
+    """Links carrying the provider's ignore attribute, as scan evidence: those made
+    from pages served over https."""
+    secure = t.source("pages").where(F.startswith("url", F.lit("https"))).select(
+        (F.col("page_id") + tables.FIRST_LINK).alias("entry_id")
+    )
+    return t.entries.join(secure, "entry_id", "left_semi").select(
         "machine", F.col("path").alias("link")
     )
 
@@ -874,9 +878,7 @@ SELECT row_number() OVER (ORDER BY position DESC) AS turn, position AS sequence
 WHERE reason IS NULL AND kind <> 'create_directory'""")
 def _(t: Given):
     steps = carry.reversible(applied(t).steps)
-    from filelens.operators.scale import number_rows
-
-    return number_rows(steps, [F.desc("sequence")], "turn", start=1).select("turn", "sequence")
+    return scale.number_rows(steps, [F.desc("sequence")], "turn", start=1).select("turn", "sequence")
 
 
 TALLY = """
@@ -890,8 +892,7 @@ def step_log(t: Given) -> str:
     """An append-only log: every step before it was attempted, then its outcome."""
     operations = preflight.passing(combined_plan(t), graded(t))
     run = applied(t)
-    key = f"{t.spark.sparkContext.applicationId}/{abs(hash(t.sf_dir))}"
-    where = f"{shared_dir(t.spark)}/steps-{key}"
+    where = tables.place(t.spark, t.sf_dir, "step_log")
     if where not in _logged:
         journal.append_steps(journal.intended(operations), where)
         journal.append_steps(run.steps, where)
@@ -1140,7 +1141,14 @@ def _(t: Given):
 # --- artifacts and lineage ------------------------------------------------------
 
 
-@query("stage_table", None)
+@query("stage_table", """
+SELECT * FROM (VALUES ('scan', NULL, 'inventory', false, 0, 0),
+  ('analyze', 'inventory', 'analysis', false, 1, 1), ('merge', 'analysis', 'analysis', false, 2, NULL),
+  ('plan', 'analysis', 'plan', false, 1, 1), ('preflight', 'plan', 'preflight', false, 1, 1),
+  ('apply', 'preflight', 'journal', true, 1, 1), ('undo', 'journal', 'journal', true, 1, 1))
+  AS s(stage, input_kind, output_kind, mutates, least_inputs, most_inputs)
+WHERE stage IN (SELECT CASE least(turn, 6) WHEN 0 THEN 'scan' WHEN 1 THEN 'analyze' WHEN 2 THEN 'plan'
+  WHEN 3 THEN 'preflight' WHEN 4 THEN 'apply' WHEN 5 THEN 'undo' ELSE 'merge' END FROM conversations)""")
 def _(t: Given):
     used = headers(t).select("stage").distinct()
     return lineage.stages(t.spark).join(used, "stage", "left_semi")
@@ -1239,7 +1247,7 @@ def _(t: Given):
 @query("analysis_artifact", None)
 def _(t: Given):
     found = t.analysis
-    where = f"{shared_dir(t.spark)}/artifacts-{t.spark.sparkContext.applicationId}/{abs(hash(t.sf_dir))}"
+    where = tables.place(t.spark, t.sf_dir, "artifacts")
     inventory = artifacts.write(
         t.spark, f"{where}/inventory", "scan", {"entries": t.entries, "unread": t.unread},
         tables.MACHINES[:1], replace=True,
@@ -1271,7 +1279,7 @@ SELECT kind, count(*) AS records, CAST(sum(logical_size) AS BIGINT) AS bytes, co
 UNION ALL SELECT reason, count(*), NULL, 0, min(path) FROM v_unread GROUP BY 1""")
 def _(t: Given):
     # Out to text and back: the figures are those of the exported files.
-    where = f"{shared_dir(t.spark)}/ndjson-{t.spark.sparkContext.applicationId}/{abs(hash(t.sf_dir))}"
+    where = tables.place(t.spark, t.sf_dir, "ndjson")
     ndjson.export_ndjson(ndjson.records(t.entries, t.unread, t.roots), where, replace=True)
     back, _, _ = ndjson.read_ndjson(t.spark, where)
     files = back.entries.groupBy("kind").agg(

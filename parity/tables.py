@@ -33,6 +33,12 @@ MACHINES = ("mac", "windows")
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def place(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where this session keeps a derived table."""
+    tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+    return f"{shared_dir(spark)}/filelens-{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
 def stored(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -42,8 +48,7 @@ def stored(
     if key not in _written:
         for setting, value in SETTINGS.items():
             spark.conf.set(setting, value)
-        tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
-        where = f"{shared_dir(spark)}/filelens-{app}/{tag}/{name}"
+        where = place(spark, sf_dir, name)
         build().write.mode("overwrite").parquet(where)
         _written[key] = where
     return spark.read.parquet(_written[key])
