@@ -174,9 +174,11 @@ def exclusive_entries(settled: DataFrame) -> DataFrame:
         )
         .where("least = most")
     )
-    return scale.join_hot(content, alone, ["fingerprint"], "rows", "entry_id", "left_semi").select(
-        "machine", "entry_id", "fingerprint"
+    slices = scale.slices_for(settled)
+    found = scale.join_hot(
+        content, alone, ["fingerprint"], "rows", "entry_id", "left_semi", slices
     )
+    return found.select("machine", "entry_id", "fingerprint")
 
 
 def comparison(inputs: Sequence[Recorded]) -> tuple[Merged, duplicates.Analysis]:

@@ -61,7 +61,9 @@ def storage_objects(entries: DataFrame) -> DataFrame:
     )
 
 
-def object_names(entries: DataFrame, objects: DataFrame) -> DataFrame:
+def object_names(
+    entries: DataFrame, objects: DataFrame, slices: int | None = scale.SLICE_ROWS
+) -> DataFrame:
     """One row per name of the given objects: (entry_id, first_name).
 
     An object with one name is its own row; only objects with several names are
@@ -70,7 +72,7 @@ def object_names(entries: DataFrame, objects: DataFrame) -> DataFrame:
     single = objects.where("names = 1").select(F.col("first_name").alias("entry_id"), "first_name")
     several = objects.where("names > 1").select(*OBJECT_KEYS, "first_name", "names")
     keyed = object_key(candidate_files(entries)).select("entry_id", *OBJECT_KEYS)
-    found = scale.join_hot(keyed, several, OBJECT_KEYS, "names", "entry_id")
+    found = scale.join_hot(keyed, several, OBJECT_KEYS, "names", "entry_id", slice_rows=slices)
     return single.unionByName(found.select("entry_id", "first_name"))
 
 
@@ -83,9 +85,10 @@ def size_buckets(objects: DataFrame) -> DataFrame:
     )
 
 
-def sharing_a_size(objects: DataFrame) -> DataFrame:
+def sharing_a_size(objects: DataFrame, slices: int | None = scale.SLICE_ROWS) -> DataFrame:
+    buckets = size_buckets(objects)
     return scale.join_hot(
-        objects, size_buckets(objects), ["logical_size"], "objects", "first_name", "left_semi"
+        objects, buckets, ["logical_size"], "objects", "first_name", "left_semi", slices
     )
 
 
@@ -94,7 +97,7 @@ def candidates(entries: DataFrame, depth: str = "duplicates") -> DataFrame:
     ``thorough`` all of them; never one whose reading could download."""
     objects = storage_objects(entries)
     if depth == "duplicates":
-        objects = sharing_a_size(objects)
+        objects = sharing_a_size(objects, scale.slices_for(entries))
     elif depth != "thorough":
         raise ValueError(f"depth is 'duplicates' or 'thorough', not {depth!r}")
     return objects.where(~F.col("may_download")).select(
@@ -139,9 +142,10 @@ def needing_full_read(sampled: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("agree"))
         .where("agree > 1")
     )
-    return scale.join_hot(
-        partial, agreeing, ["logical_size", "digest"], "agree", "entry_id", "left_semi"
-    ).select("entry_id", "logical_size")
+    keys = ["logical_size", "digest"]
+    slices = scale.slices_for(sampled)
+    found = scale.join_hot(partial, agreeing, keys, "agree", "entry_id", "left_semi", slices)
+    return found.select("entry_id", "logical_size")
 
 
 def settle(
@@ -158,8 +162,7 @@ def settle(
     file whole, so that files unique on each of two machines can be compared.
     """
     wanted = pin(candidates(entries, depth))
-    sampled = sample_pass(content, wanted, end_bytes)
-    sampled = pin(sampled)
+    sampled = pin(sample_pass(content, wanted, end_bytes))
     confirm = sampled.where(~F.col("complete")) if confirm_all else needing_full_read(sampled)
     confirm = pin(confirm.select("entry_id"))
     full = digest_entries(content, confirm, digests.full_digest(F.col("content")))
@@ -178,7 +181,8 @@ def settled_objects(entries: DataFrame, settled: DataFrame) -> DataFrame:
     state = settled.select(
         F.col("entry_id").alias("first_name"), F.col("kind").alias("state"), "fingerprint"
     )
-    return sharing_a_size(storage_objects(entries)).join(state, "first_name", "left")
+    objects = sharing_a_size(storage_objects(entries), scale.slices_for(entries))
+    return objects.join(state, "first_name", "left")
 
 
 def group_tables(entries: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +191,7 @@ def group_tables(entries: DataFrame, settled: DataFrame) -> tuple[DataFrame, Dat
     Tier 0 is exact: at least two objects with the same content digest. Tier 1 is
     the candidate group of a size: its unread objects, possibly a single one.
     """
-    objects = settled_objects(entries, settled)
+    objects = pin(settled_objects(entries, settled))
     unread = F.col("state").isNull()
     keyed = objects.where(unread | (F.col("state") == "content")).select(
         "*",
@@ -237,7 +241,8 @@ def group_tables(entries: DataFrame, settled: DataFrame) -> tuple[DataFrame, Dat
 def members_of(groups: DataFrame, keyed: DataFrame) -> DataFrame:
     """The member objects of each group."""
     wanted = groups.select(*GROUP_KEYS, "objects")
-    return scale.join_hot(keyed, wanted, GROUP_KEYS, "objects", "first_name", "left_semi")
+    slices = scale.slices_for(keyed)
+    return scale.join_hot(keyed, wanted, GROUP_KEYS, "objects", "first_name", "left_semi", slices)
 
 
 def unsettled_reasons(download: Column, refused: Column, size: Column) -> Column:
@@ -271,6 +276,7 @@ def analysis_of(entries: DataFrame, settled: DataFrame) -> Analysis:
 
     Group numbers follow size, then digest, the candidate group last in its size.
     """
+    slices = scale.slices_for(entries)
     groups, keyed = group_tables(entries, settled)
     numbered = scale.number_rows(groups, [F.col(k) for k in GROUP_KEYS], "group_id")
     table = numbered.select(
@@ -293,6 +299,7 @@ def analysis_of(entries: DataFrame, settled: DataFrame) -> Analysis:
         GROUP_KEYS,
         "group_objects",
         "first_name",
+        slice_rows=slices,
     )
     placed = scale.number_within(
         with_ids.select(
@@ -302,8 +309,9 @@ def analysis_of(entries: DataFrame, settled: DataFrame) -> Analysis:
         [F.col("first_name")],
         "object_id",
         "first_name",
+        slices,
     )
-    names = object_names(entries, placed)
+    names = object_names(entries, placed, slices)
     members = scale.join_hot(
         names,
         placed.select(
@@ -313,6 +321,7 @@ def analysis_of(entries: DataFrame, settled: DataFrame) -> Analysis:
         ["first_name"],
         "names",
         "entry_id",
+        slice_rows=slices,
     ).select(
         "group_id", "object_id", "machine", "entry_id", "first_name", "logical_size",
         "allocated_size",

@@ -28,16 +28,19 @@ def join_hot(
     rows: str,
     spread_by: str,
     how: str = "inner",
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Equi-join ``many`` rows per key to the ``one`` row of that key.
 
     ``rows`` is a column of ``one`` bounding how many ``many`` rows its key has.
     Keys above ``slice_rows`` are cut into slices by a hash of ``spread_by``; the
     single row of such a key is repeated once per slice. The result is the plain
-    join's. ``how`` may be inner, left or left_semi.
+    join's. ``how`` may be inner, left or left_semi. ``slice_rows`` is None where
+    a count has shown that no key can be hot (see ``slices_for``).
     """
     keys = list(keys)
+    if slice_rows is None:
+        return many.join(one, keys, how)
     heavy = (
         one.select(*keys, F.col(rows).alias("_n"))
         .orderBy(F.desc("_n"))
@@ -93,6 +96,7 @@ def number_within(
     order: Sequence[Column],
     name: str,
     spread_by: str,
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """Positions from zero inside each group, however large a group is: number
     everything once, then subtract each group's first number."""
@@ -101,7 +105,7 @@ def number_within(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     return (
-        join_hot(numbered, firsts, group, "_rows", spread_by)
+        join_hot(numbered, firsts, group, "_rows", spread_by, slice_rows=slice_rows)
         .withColumn(name, F.col("_at") - F.col("_first"))
         .drop("_at", "_first", "_rows")
     )
@@ -119,8 +123,15 @@ def first_rows(
 
 
 def is_small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most ``limit`` rows; reads no more than it must."""
-    return frame.limit(limit + 1).count() <= limit
+    """Whether a frame has at most ``limit`` rows. A plain count: each task adds
+    up its own rows and nothing else moves. For scans and pinned frames."""
+    return frame.count() <= limit
+
+
+def slices_for(frame: DataFrame, slice_rows: int = SLICE_ROWS) -> int | None:
+    """Slice size for joins of a frame's rows; None when the whole frame is no
+    larger than one slice, so that none of its keys can be hot."""
+    return None if is_small(frame, slice_rows) else slice_rows
 
 
 def join_counted(
@@ -129,11 +140,14 @@ def join_counted(
     keys: Sequence[str],
     spread_by: str,
     how: str = "inner",
+    slice_rows: int | None = SLICE_ROWS,
 ) -> DataFrame:
     """``join_hot`` where nobody knows yet how many rows each key has."""
+    if slice_rows is None:
+        return many.join(one, list(keys), how)
     rows = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     counted = one.join(rows, list(keys))
-    joined = join_hot(many, counted, keys, "_rows", spread_by, how)
+    joined = join_hot(many, counted, keys, "_rows", spread_by, how, slice_rows)
     return joined.drop("_rows")
 
 

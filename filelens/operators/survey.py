@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,19 +107,28 @@ def largest_files(files: DataFrame, k: int = WORTH_NAMING) -> DataFrame:
     return top.withColumn("category", classify.category_of(F.col("path")))
 
 
-@dataclass
 class Survey:
-    totals: DataFrame
-    kinds: DataFrame
-    folders: DataFrame
-    largest: DataFrame
+    """The four answers over one inventory; each is built when it is asked for."""
+
+    def __init__(self, entries: DataFrame, k: int = WORTH_NAMING):
+        self.files, self.k = weighted(entries), k
+
+    @property
+    def totals(self) -> DataFrame:
+        return totals(self.files)
+
+    @property
+    def kinds(self) -> DataFrame:
+        return kinds(self.files)
+
+    @property
+    def folders(self) -> DataFrame:
+        return top_folders(worth_showing(folders(self.files)), self.k)
+
+    @property
+    def largest(self) -> DataFrame:
+        return largest_files(self.files, self.k)
 
 
 def survey(entries: DataFrame, k: int = WORTH_NAMING) -> Survey:
-    files = weighted(entries)
-    return Survey(
-        totals(files),
-        kinds(files),
-        top_folders(worth_showing(folders(files)), k),
-        largest_files(files, k),
-    )
+    return Survey(entries, k)

@@ -30,10 +30,12 @@ class Run:
     after: DataFrame
 
 
-def _trouble_at_source(moves: DataFrame, observed: DataFrame, content: DataFrame | None):
+def _trouble_at_source(
+    moves: DataFrame, observed: DataFrame, content: DataFrame | None, slices: int | None
+) -> DataFrame:
     """Add ``own``: what a fresh look at the source holds against a move. Only
     content is compared, and only where it was recorded."""
-    rows = with_looks(moves, observed, {"from_path": "source"}, "seq")
+    rows = with_looks(moves, observed, {"from_path": "source"}, "seq", slices=slices)
     if content is None:
         rows = rows.withColumn("actual", F.col("content"))
     else:
@@ -59,7 +61,7 @@ def _trouble_at_source(moves: DataFrame, observed: DataFrame, content: DataFrame
     return rows.withColumn("own", own).withColumn("detail", detail)
 
 
-def _links(moves: DataFrame, observed: DataFrame) -> DataFrame:
+def _links(moves: DataFrame, observed: DataFrame, slices: int | None) -> DataFrame:
     """Which earlier moves bear on which later ones, and how.
 
     ``gone``: the source lies in a folder an earlier move takes along.
@@ -76,11 +78,12 @@ def _links(moves: DataFrame, observed: DataFrame) -> DataFrame:
     )
     folders = pin(movers.where("is_folder").drop("is_folder"))
     before = F.col("by") < F.col("seq")
+    carried_by = F.array_contains("through", F.col("by"))
 
     def above(column: str, at: str) -> DataFrame:
         """Moves whose path lies strictly below an earlier folder move's path."""
         points = able.select(
-            "machine", "seq", column, F.explode(paths.ancestors(F.col(column))).alias(at)
+            "machine", "seq", column, "through", F.explode(paths.ancestors(F.col(column))).alias(at)
         )
         one = folders.groupBy("machine", at).agg(
             F.min("by").alias("by"), F.min_by("by_from", "by").alias("first_from"),
@@ -94,33 +97,37 @@ def _links(moves: DataFrame, observed: DataFrame) -> DataFrame:
             F.min("by").alias("by")
         )
         points = able.select("machine", "seq", column)
-        return scale.join_counted(points, starts, ["machine", column], "seq").where(before)
+        return scale.join_counted(
+            points, starts, ["machine", column], "seq", slice_rows=slices
+        ).where(before)
 
     link = lambda frame, how: frame.select("seq", "by", F.lit(how).alias("how"))
-    arriving = above("to_path", "by_to").withColumn(
-        "path", paths.rebase(F.col("to_path"), F.col("by_to"), F.col("first_from"))
-    )
-    places = arriving.select("machine", "path").distinct()
-    existing = looked_at(observed, places).where("seen is not null").select("machine", "path")
-    filled = scale.join_counted(arriving, existing, ["machine", "path"], "seq", "left_semi")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            link(above("from_path", "by_from"), "gone"),
-            link(at_same("from_path"), "gone"),
+    found = [link(at_same("from_path"), "gone"), link(at_same("to_path"), "freed")]
+    if not folders.isEmpty():
+        arriving = above("to_path", "by_to").withColumn(
+            "path", paths.rebase(F.col("to_path"), F.col("by_to"), F.col("first_from"))
+        )
+        places = arriving.select("machine", "path").distinct()
+        existing = looked_at(observed, places).where("seen is not null").select("machine", "path")
+        filled = scale.join_counted(
+            arriving, existing, ["machine", "path"], "seq", "left_semi", slices
+        )
+        found += [
+            link(above("from_path", "by_from").where(~carried_by), "gone"),
             link(above("to_path", "by_from"), "freed"),
-            link(at_same("to_path"), "freed"),
             link(filled, "filled"),
-        ],
-    )
+        ]
+    return reduce(DataFrame.unionByName, found)
 
 
-def carry_out(moves: DataFrame, observed: DataFrame) -> DataFrame:
+def carry_out(
+    moves: DataFrame, observed: DataFrame, slices: int | None = scale.SLICE_ROWS
+) -> DataFrame:
     """Add ``done`` and ``reason`` to ordered moves (seq, machine, from_path,
     to_path, is_folder, own, detail). Of several moves to one place the first that
     can be made is made; nothing is ever written over."""
-    moves = pin(with_looks(moves, observed, {"to_path": "there"}, "seq"))
-    links = pin(_links(moves, observed))
+    moves = pin(with_looks(moves, observed, {"to_path": "there"}, "seq", slices=slices))
+    links = pin(_links(moves, observed, slices))
     bearing = links.groupBy("by").agg(F.count(F.lit(1)).alias("_rows"))
     claim = ["machine", "to_path"]
     how, able, seq = F.col("how"), F.col("able"), F.col("seq")
@@ -131,7 +138,9 @@ def carry_out(moves: DataFrame, observed: DataFrame) -> DataFrame:
             known = links.withColumn("by_done", F.lit(None).cast("boolean"))
         else:
             state = decided.select(F.col("seq").alias("by"), F.col("done").alias("by_done"))
-            known = scale.join_hot(links, state.join(bearing, "by"), ["by"], "_rows", "seq", "left")
+            known = scale.join_hot(
+                links, state.join(bearing, "by"), ["by"], "_rows", "seq", "left", slices
+            )
         did = lambda what: F.coalesce(
             F.bool_or((how == what) & F.col("by_done")), F.lit(False)
         ).alias(what)
@@ -162,7 +171,7 @@ def carry_out(moves: DataFrame, observed: DataFrame) -> DataFrame:
             F.col("first_open").isNull() | (F.col("first_open") > F.col("winner"))
         )
         round_ = pin(
-            scale.join_hot(looked, claims, claim, "_rows", "seq")
+            scale.join_hot(looked, claims, claim, "_rows", "seq", slice_rows=slices)
             .withColumn("taken", taken)
             .withColumn("ready", able.isNotNull() & (~able | F.col("taken")))
         )
@@ -182,9 +191,59 @@ def carry_out(moves: DataFrame, observed: DataFrame) -> DataFrame:
             return decided
 
 
+def final_places(moved: DataFrame) -> DataFrame:
+    """Add ``final`` and ``through`` to moves made: where a moved row ends up once
+    later folder moves took it along, and which ones did, in order. As many rounds
+    as moves are nested; without folder moves there are none."""
+    rows = moved.withColumns(
+        {
+            "final": F.col("to_path"),
+            "through": F.array().cast("array<bigint>"),
+            "_since": F.col("seq"),
+        }
+    )
+    folders = pin(
+        moved.where("is_folder").select(
+            "machine",
+            F.col("from_path").alias("_at"),
+            F.col("to_path").alias("_lands"),
+            F.col("seq").alias("_by"),
+        )
+    )
+    while not folders.isEmpty():
+        points = rows.select(
+            "machine", "seq", "_since", F.explode(paths.ancestors(F.col("final"))).alias("_at")
+        )
+        taken = (
+            scale.look_up(points, folders, ["machine", "_at"], "seq", "inner")
+            .where("_by > _since")
+            .groupBy("seq")
+            .agg(F.min(F.struct("_by", "_at", "_lands")).alias("_next"))
+        )
+        rows = pin(rows.join(taken, "seq", "left"))
+        last = rows.where("_next is not null").isEmpty()
+        moves_on = F.col("_next").isNotNull()
+        rows = rows.withColumns(
+            {
+                "final": F.when(
+                    moves_on,
+                    paths.rebase(F.col("final"), F.col("_next._at"), F.col("_next._lands")),
+                ).otherwise(F.col("final")),
+                "through": F.when(
+                    moves_on, F.array_append("through", F.col("_next._by"))
+                ).otherwise(F.col("through")),
+                "_since": F.coalesce("_next._by", "_since"),
+            }
+        ).drop("_next")
+        if last:
+            break
+    return rows.drop("_since")
+
+
 def moved_rows(entries: DataFrame, moved: DataFrame) -> DataFrame:
-    """Rewrite paths after moves (machine, from_path, to_path, is_folder): a row
-    takes its own move, else the one of the nearest moved folder above it."""
+    """Rewrite paths after moves made (seq, machine, from_path, to_path, is_folder):
+    a row takes its own move, else the one of the nearest moved folder above it."""
+    moved = final_places(moved).withColumn("to_path", F.col("final"))
     own = moved.select(
         "machine", F.col("from_path").alias("path"), F.col("to_path").alias("_own")
     )
@@ -227,13 +286,16 @@ def apply_snapshot(
     """Carry passing operations out on a snapshot: one resolved step each, and the
     snapshot as it would be afterwards. ``operations`` are those a preflight
     passed; every subject is looked at once more first."""
+    operations = pin(operations)
     if operations.isEmpty():
         raise ValueError("nothing passed preflight, so there is nothing to carry out")
+    slices = scale.slices_for(operations)
     making = with_looks(
         operations.where("kind = 'create_directory'"),
         observed,
         {"destination": "there"},
         "position",
+        slices=slices,
     )
     blocked = F.col("there").isNotNull() & (F.col("there.kind") != "directory")
     made = making.withColumn("blocked", blocked)
@@ -261,10 +323,18 @@ def apply_snapshot(
         "is_folder",
         "content",
     )
-    moves = _trouble_at_source(moves, observed, content).select(
-        "seq", "machine", "from_path", "to_path", "is_folder", "content", "own", "detail"
+    moves = _trouble_at_source(moves, observed, content, slices).select(
+        "seq",
+        "machine",
+        "from_path",
+        "to_path",
+        "is_folder",
+        "content",
+        "own",
+        "detail",
+        F.array().cast("array<bigint>").alias("through"),
     )
-    outcome = pin(carry_out(moves, observed))
+    outcome = pin(carry_out(moves, observed, slices))
     move_steps = _step_frame(
         outcome,
         sequence=F.col("seq"),
@@ -319,29 +389,52 @@ def undo_snapshot(steps: DataFrame, observed: DataFrame, strict_parity: bool = F
     """Put back what a run moved, newest step first; an original path that has
     been taken since is left alone. Folders the run created are removed when
     nothing is in them, unless ``strict_parity`` leaves them like the original."""
-    back = reversible(steps).select(
-        (-F.col("sequence")).alias("seq"),
+    made_moves = reversible(steps).select(
+        F.col("sequence").alias("seq"), "operation", "machine", "from_path", "to_path", "content"
+    )
+    made_moves = pin(made_moves)
+    slices = scale.slices_for(made_moves)
+    if made_moves.isEmpty():
+        raise ValueError("this run changed nothing, so there is nothing to put back")
+    # A folder stays a folder wherever it went, so what lies below its place in
+    # the snapshot went with it.
+    above = (
+        observed.select("machine", paths.parent(F.col("path")).alias("path"))
+        .where("path is not null")
+        .distinct()
+        .select("machine", F.explode(paths.self_and_ancestors(F.col("path"))).alias("to_path"))
+        .distinct()
+    )
+    listed = observed.where("kind = 'directory'").select("machine", F.col("path").alias("to_path"))
+    holding = above.unionByName(listed).distinct().withColumn("is_folder", F.lit(True))
+    made_moves = made_moves.join(holding, ["machine", "to_path"], "left").na.fill(
+        False, ["is_folder"]
+    )
+    placed = final_places(pin(made_moves)).select(
+        (-F.col("seq")).alias("seq"),
         "operation",
         "machine",
-        F.col("to_path").alias("from_path"),
+        F.col("to_path").alias("recorded"),
+        F.col("final").alias("from_path"),
         F.col("from_path").alias("to_path"),
         "content",
+        F.transform("through", lambda s: -s).alias("through"),
     )
-    if back.isEmpty():
-        raise ValueError("this run changed nothing, so there is nothing to put back")
-    back = with_looks(back, observed, {"from_path": "source"}, "seq")
+    back = with_looks(placed, observed, {"from_path": "source"}, "seq", slices=slices)
     moves = back.select(
         "seq",
         "operation",
         "machine",
         "from_path",
         "to_path",
+        "recorded",
         F.coalesce(F.col("source.kind") == "directory", F.lit(False)).alias("is_folder"),
         "content",
         F.when(F.col("source").isNull(), F.lit("could not move")).alias("own"),
         F.lit(None).cast("string").alias("detail"),
+        "through",
     )
-    outcome = pin(carry_out(moves, observed))
+    outcome = pin(carry_out(moves, observed, slices))
     after = moved_rows(observed, outcome.where("done"))
     failed = F.col("reason") == "could not move"
     put_back = _step_frame(
@@ -353,7 +446,7 @@ def undo_snapshot(steps: DataFrame, observed: DataFrame, strict_parity: bool = F
         .when(failed, F.lit("failed"))
         .otherwise(F.lit("skipped")),
         reason=F.col("reason"),
-        from_path=F.col("from_path"),
+        from_path=F.col("recorded"),
         to_path=F.when(F.col("done"), F.col("to_path")),
         content=F.col("content"),
     )
@@ -393,4 +486,4 @@ def _remove_empty(made: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFra
         content=F.lit(None),
     )
     gone = judged.where("held is null").select("machine", "path")
-    return removal, after.join(gone, ["machine", "path"], "left_anti")
+    return removal, after.join(gone, ["machine", "path"], "left_anti").select(*after.columns)

@@ -48,8 +48,11 @@ def in_the_way(entries: DataFrame, edits: DataFrame) -> DataFrame:
     carries a name the log uses, and sits in a folder the log uses or below a
     folder the log moves; everything else is irrelevant to every decision.
     """
+    # A log brings at most three names and three folders per edit, so its own size
+    # bounds what is broadcast.
+    small = scale.is_small(edits, scale.BROADCAST_ROWS // 4)
     asked = edits.where("entry_id is not null").select("machine", "entry_id").distinct()
-    if scale.is_small(asked):
+    if small:
         asked = F.broadcast(asked)
     named = entries.select("machine", "entry_id", "path", "kind").join(
         asked, ["machine", "entry_id"], "left_semi"
@@ -67,7 +70,6 @@ def in_the_way(entries: DataFrame, edits: DataFrame) -> DataFrame:
         .where("_name is not null")
         .distinct()
     )
-    names = pin(names)
     folders = (
         edits.where("path is not null").select("machine", subject.alias("_in"))
         .unionByName(
@@ -78,7 +80,6 @@ def in_the_way(entries: DataFrame, edits: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_used", F.lit(True))
     )
-    folders = pin(folders)
     moving = named.where("kind = 'directory'").select("machine", "path").distinct()
     near = entries.select(
         "machine",
@@ -88,8 +89,13 @@ def in_the_way(entries: DataFrame, edits: DataFrame) -> DataFrame:
         paths.file_name(subject).alias("_name"),
         paths.parent(subject).alias("_in"),
     )
-    near = scale.look_up(near, names, ["machine", "_name"], "entry_id", "left_semi")
-    near = scale.look_up(near, folders, ["machine", "_in"], "entry_id", "left")
+    if small:
+        near = near.join(F.broadcast(names), ["machine", "_name"], "left_semi")
+        near = near.join(F.broadcast(folders), ["machine", "_in"], "left")
+    else:
+        names, folders = pin(names), pin(folders)
+        near = scale.join_counted(near, names, ["machine", "_name"], "entry_id", "left_semi")
+        near = scale.join_counted(near, folders, ["machine", "_in"], "entry_id", "left")
     near = longest_root(near, moving, []).where("_used or owner is not null")
     return near.select("machine", "entry_id", "path", "kind").unionByName(named).distinct()
 

@@ -51,6 +51,7 @@ def _exact_names(entries: DataFrame, analysis: Analysis) -> DataFrame:
         ["group_id"],
         "names",
         "entry_id",
+        slice_rows=scale.slices_for(analysis.members),
     )
     facts = entries.select(
         "machine",
@@ -102,7 +103,12 @@ def resolve(
     names = _exact_names(entries, analysis)
     best = _kept(names.where("entry_id = first_name"), rule, under)
     losers = scale.join_hot(
-        names.drop("names"), best, ["group_id"], "names", "entry_id"
+        names.drop("names"),
+        best,
+        ["group_id"],
+        "names",
+        "entry_id",
+        slice_rows=scale.slices_for(analysis.members),
     ).where("first_name <> kept_entry")
     return operation_frame(
         losers,
@@ -206,6 +212,7 @@ def conflict_claims(entries: DataFrame, operations: DataFrame) -> DataFrame:
         "claimants",
         "position",
         "left_semi",
+        scale.slices_for(operations),
     )
 
 

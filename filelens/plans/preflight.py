@@ -50,6 +50,7 @@ def with_looks(
     looks: dict[str, str],
     spread_by: str,
     marks: dict[str, DataFrame] | None = None,
+    slices: int | None = scale.SLICE_ROWS,
 ) -> DataFrame:
     """Add what a snapshot says about several path columns: {path column: name}.
 
@@ -77,7 +78,7 @@ def with_looks(
             "machine", F.col("path").alias(column), F.col("seen").alias(name), *flags, "_rows"
         )
         frame = scale.join_hot(
-            frame, view, ["machine", column], "_rows", spread_by, "left"
+            frame, view, ["machine", column], "_rows", spread_by, "left", slices
         ).drop("_rows")
     return frame
 
@@ -118,6 +119,7 @@ def preflight(
         {"subject_path": "source", "destination": "there", "into": "folder"},
         "position",
         {"made": made, "vacated": leaving},
+        scale.slices_for(operations),
     )
     differs = (
         (F.col("logical_size") != F.col("source.logical_size"))

@@ -110,7 +110,8 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = base.groupBy("copy", "side").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")
     )
-    docs = scale.join_hot(base, firsts, ["copy", "side"], "copies", "doc_id")
+    slices = scale.slices_for(source(spark, sf_dir, "documents"))
+    docs = scale.join_hot(base, firsts, ["copy", "side"], "copies", "doc_id", slice_rows=slices)
     mod = lambda n: F.pmod(doc, F.lit(n))
     suffix = F.element_at(
         F.array(*[F.lit(s) for s in (".txt", ".JPG", ".parquet", "", ".tar.gz", ".mov", ".pdf")]),

@@ -18,6 +18,10 @@ from filelens.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", "tests")
+    # Tiny inputs: compiling each plan would take longer than running it.
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

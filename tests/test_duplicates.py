@@ -119,8 +119,7 @@ def test_the_later_of_equal_findings_is_the_largest(frame, contents):
 
 
 def test_a_group_holding_most_rows_is_sliced(frame, contents, monkeypatch):
-    monkeypatch.setattr(scale, "SLICE_ROWS", 4)
-    monkeypatch.setattr(scale.join_hot, "__defaults__", ("inner", 4))
+    monkeypatch.setattr(scale, "slices_for", lambda frame: 4)
     e = frame([entry(f"/{i}", i, 5, file_id=(1, i // 3)) for i in range(60)])
     texts = [(i, "hot!!" if i < 45 else f"{i // 3:05d}") for i in range(60)]
     found = duplicates.analyze(e, contents(texts))
