@@ -48,18 +48,18 @@ def read_inventory(spark: SparkSession, paths: Sequence[str], fmt: str = "parque
     shape = schema.table(f"{CORRUPT} string")
     for field in schema.ENTRY.fields:
         shape.add(field)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     frames = [
-        spark.read.schema(shape)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(p)
-        .withColumn("_from", F.col("_metadata.file_path"))
+        spark.read.text(p).select(
+            F.from_json("value", shape, options).alias("row"),
+            F.col("_metadata.file_path").alias("file"),
+        )
         for p in paths
     ]
-    rows = reduce(DataFrame.unionByName, frames)
+    rows = reduce(DataFrame.unionByName, frames).select("row.*", "file")
     bad = rows.where(F.col(CORRUPT).isNotNull()).select(
         F.lit(None).cast("string").alias("machine"),
-        F.col("_from").alias("path"),
+        F.col("file").alias("path"),
         F.lit("other").alias("reason"),
         F.col(CORRUPT).alias("detail"),
     )
