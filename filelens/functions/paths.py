@@ -19,21 +19,28 @@ def depth(path: Column) -> Column:
     return F.when(path == "/", F.lit(1)).otherwise(F.size(parts(path))).cast("long")
 
 
+def _last(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
 def parent(path: Column) -> Column:
     """The folder a path is in; null for the root itself."""
-    cut = F.regexp_extract(path, "(?s)^(.*)/[^/]*$", 1)
+    cut = F.left(path, F.char_length(path) - F.char_length(_last(path)) - 1)
     return F.when(path == "/", F.lit(None)).when(cut == "", F.lit("/")).otherwise(cut)
 
 
 def file_name(path: Column) -> Column:
-    name = F.element_at(parts(path), -1)
-    return F.when(name != "", name)
+    return F.nullif(_last(path), F.lit(""))
 
 
 def extension(path: Column) -> Column:
     """After the last dot, lower-cased; null when a name only starts with a dot."""
-    found = F.regexp_extract(F.element_at(parts(path), -1), r"(?s)^.+\.([^.]*)$", 1)
-    return F.when(found != "", F.translate(found, ascii_uppercase, ascii_lowercase))
+    name = _last(path)
+    found = F.substring_index(name, ".", -1)
+    after_a_dot = F.char_length(name) - F.char_length(found) > 1
+    return F.when(
+        after_a_dot & (found != ""), F.translate(found, ascii_uppercase, ascii_lowercase)
+    )
 
 
 def ancestors(path: Column) -> Column:

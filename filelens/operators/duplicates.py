@@ -92,14 +92,24 @@ def sharing_a_size(objects: DataFrame, slices: int | None = scale.SLICE_ROWS) ->
     )
 
 
+def shared_objects(entries: DataFrame) -> DataFrame:
+    """Objects that share their size with another, written once: both the reading
+    and the grouping start from them, and they are few beside the inventory."""
+    objects = pin(storage_objects(entries))
+    return pin(sharing_a_size(objects, scale.slices_for(objects)))
+
+
 def candidates(entries: DataFrame, depth: str = "duplicates") -> DataFrame:
     """Objects to read, by first name: those sharing a size, or with
     ``thorough`` all of them; never one whose reading could download."""
-    objects = storage_objects(entries)
     if depth == "duplicates":
-        objects = sharing_a_size(objects, scale.slices_for(entries))
-    elif depth != "thorough":
-        raise ValueError(f"depth is 'duplicates' or 'thorough', not {depth!r}")
+        return readable_objects(shared_objects(entries))
+    if depth == "thorough":
+        return readable_objects(storage_objects(entries))
+    raise ValueError(f"depth is 'duplicates' or 'thorough', not {depth!r}")
+
+
+def readable_objects(objects: DataFrame) -> DataFrame:
     return objects.where(~F.col("may_download")).select(
         F.col("first_name").alias("entry_id"), "machine", "logical_size"
     )
@@ -154,6 +164,7 @@ def settle(
     depth: str = "duplicates",
     end_bytes: int = digests.SAMPLE_END_BYTES,
     confirm_all: bool = False,
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """Fingerprints: (machine, entry_id, kind, fingerprint).
 
@@ -161,7 +172,10 @@ def settle(
     the file apart, which is not identity. ``confirm_all`` reads every sampled
     file whole, so that files unique on each of two machines can be compared.
     """
-    wanted = pin(candidates(entries, depth))
+    if shared is not None and depth == "duplicates":
+        wanted = readable_objects(shared)
+    else:
+        wanted = pin(candidates(entries, depth))
     sampled = pin(sample_pass(content, wanted, end_bytes))
     confirm = sampled.where(~F.col("complete")) if confirm_all else needing_full_read(sampled)
     confirm = pin(confirm.select("entry_id"))
@@ -176,22 +190,24 @@ def settle(
     )
 
 
-def settled_objects(entries: DataFrame, settled: DataFrame) -> DataFrame:
+def settled_objects(shared: DataFrame, settled: DataFrame) -> DataFrame:
     """Objects sharing a size, with the state of their first name."""
     state = settled.select(
         F.col("entry_id").alias("first_name"), F.col("kind").alias("state"), "fingerprint"
     )
-    objects = sharing_a_size(storage_objects(entries), scale.slices_for(entries))
-    return objects.join(state, "first_name", "left")
+    return shared.join(state, "first_name", "left")
 
 
-def group_tables(entries: DataFrame, settled: DataFrame) -> tuple[DataFrame, DataFrame]:
+def group_tables(
+    entries: DataFrame, settled: DataFrame, shared: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Groups and their member objects, keyed by (logical_size, tier, digest).
 
     Tier 0 is exact: at least two objects with the same content digest. Tier 1 is
     the candidate group of a size: its unread objects, possibly a single one.
     """
-    objects = pin(settled_objects(entries, settled))
+    shared = shared_objects(entries) if shared is None else shared
+    objects = pin(settled_objects(shared, settled))
     unread = F.col("state").isNull()
     keyed = objects.where(unread | (F.col("state") == "content")).select(
         "*",
@@ -271,13 +287,15 @@ class Analysis:
     members: DataFrame
 
 
-def analysis_of(entries: DataFrame, settled: DataFrame) -> Analysis:
+def analysis_of(
+    entries: DataFrame, settled: DataFrame, shared: DataFrame | None = None
+) -> Analysis:
     """Numbered groups and members from fingerprints already recorded.
 
     Group numbers follow size, then digest, the candidate group last in its size.
     """
     slices = scale.slices_for(entries)
-    groups, keyed = group_tables(entries, settled)
+    groups, keyed = group_tables(entries, settled, shared)
     numbered = scale.number_rows(groups, [F.col(k) for k in GROUP_KEYS], "group_id")
     table = numbered.select(
         "group_id",
@@ -336,8 +354,9 @@ def analyze(
     end_bytes: int = digests.SAMPLE_END_BYTES,
     confirm_all: bool = False,
 ) -> Analysis:
-    settled = pin(settle(entries, content, depth, end_bytes, confirm_all))
-    return analysis_of(entries, settled)
+    shared = shared_objects(entries)
+    settled = pin(settle(entries, content, depth, end_bytes, confirm_all, shared))
+    return analysis_of(entries, settled, shared)
 
 
 def group_copies(entries: DataFrame, members: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from filelens import schema
 from filelens.functions import classify, paths, sizes, wording
 from filelens.operators import compare, duplicates, ownership, scale, summaries, survey
 from filelens.plans import carry, edits, lineage, plan, preflight
-from filelens.session import pin
 from filelens.sources import artifacts, journal, ndjson
 from filelens.streaming import live_tally
 from parity import tables, views
@@ -97,7 +96,7 @@ def _(t: Given):
 SELECT c.first_name AS entry_id, {views.sample_of(64)} AS digest, strlen(text) <= 128 AS complete
 FROM v_candidate c JOIN documents d ON d.doc_id = c.first_name""")
 def _(t: Given):
-    wanted = pin(duplicates.candidates(t.entries))
+    wanted = duplicates.candidates(t.entries)
     return duplicates.sample_pass(t.content, wanted, tables.END_BYTES).select(
         "entry_id", "digest", "complete"
     )
@@ -109,7 +108,7 @@ SELECT entry_id FROM (SELECT c.first_name AS entry_id, logical_size,
   FROM v_candidate c JOIN documents d ON d.doc_id = c.first_name)
 WHERE agree > 1 AND logical_size > 128""")
 def _(t: Given):
-    wanted = pin(duplicates.candidates(t.entries))
+    wanted = duplicates.candidates(t.entries)
     sampled = duplicates.sample_pass(t.content, wanted, tables.END_BYTES)
     return duplicates.needing_full_read(sampled).select("entry_id")
 
@@ -128,8 +127,9 @@ def _(t: Given):
 SELECT logical_size, digest, objects, CAST(names AS BIGINT) AS names, first_entry,
   CAST(reclaimable_bytes AS BIGINT) AS reclaimable_bytes FROM v_group WHERE tier = 0""")
 def exact_groups(t: Given):
-    marks = duplicates.settle(t.entries, t.content)
-    groups, _ = duplicates.group_tables(t.entries, marks)
+    shared = duplicates.shared_objects(t.entries)
+    marks = duplicates.settle(t.entries, t.content, shared=shared)
+    groups, _ = duplicates.group_tables(t.entries, marks, shared)
     return groups.where("tier = 0").select(
         "logical_size", "digest", "objects", "names", "first_entry", "reclaimable_bytes"
     )
