@@ -85,11 +85,7 @@ def _links(moves: DataFrame, observed: DataFrame, slices: int | None) -> DataFra
         points = able.select(
             "machine", "seq", column, "through", F.explode(paths.ancestors(F.col(column))).alias(at)
         )
-        one = folders.groupBy("machine", at).agg(
-            F.min("by").alias("by"), F.min_by("by_from", "by").alias("first_from"),
-            F.min_by("by_to", "by").alias("first_to"),
-        )
-        return scale.look_up(points, one, ["machine", at], "seq", "inner").where(before)
+        return scale.look_up(points, folders, ["machine", at], "seq", "inner").where(before)
 
     def at_same(column: str) -> DataFrame:
         """Moves whose path is exactly where an earlier move starts."""
@@ -105,7 +101,7 @@ def _links(moves: DataFrame, observed: DataFrame, slices: int | None) -> DataFra
     found = [link(at_same("from_path"), "gone"), link(at_same("to_path"), "freed")]
     if not folders.isEmpty():
         arriving = above("to_path", "by_to").withColumn(
-            "path", paths.rebase(F.col("to_path"), F.col("by_to"), F.col("first_from"))
+            "path", paths.rebase(F.col("to_path"), F.col("by_to"), F.col("by_from"))
         )
         places = arriving.select("machine", "path").distinct()
         existing = looked_at(observed, places).where("seen is not null").select("machine", "path")

@@ -25,6 +25,8 @@ def local_session(cores: str = "8", app: str = "filelens") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
+        # Pinned frames leave files behind; drop them with the frames.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
