@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from filelens.functions import classify, paths
@@ -131,17 +131,32 @@ def digest_entries(
     return rows.select("entry_id", digest.alias("digest")).join(ids, "entry_id", "left_semi")
 
 
+def watched(read: DataFrame, progress: Observation | None) -> DataFrame:
+    """Report files and bytes of a reading pass as it completes."""
+    if progress is None:
+        return read
+    return read.observe(
+        progress,
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("logical_size"), F.lit(0)).alias("bytes"),
+    )
+
+
 def sample_pass(
-    content: DataFrame, wanted: DataFrame, end_bytes: int = digests.SAMPLE_END_BYTES
+    content: DataFrame,
+    wanted: DataFrame,
+    end_bytes: int = digests.SAMPLE_END_BYTES,
+    progress: Observation | None = None,
 ) -> DataFrame:
     """(entry_id, machine, logical_size, digest, complete) of each wanted file's ends."""
     size = F.octet_length("content").cast("long")
     read = digest_entries(
         content, wanted, digests.sample_digest(F.col("content"), size, end_bytes)
     )
-    return wanted.join(read, "entry_id").withColumn(
+    done = wanted.join(read, "entry_id").withColumn(
         "complete", digests.read_whole(F.col("logical_size"), end_bytes)
     )
+    return watched(done, progress)
 
 
 def needing_full_read(sampled: DataFrame) -> DataFrame:
@@ -165,6 +180,7 @@ def settle(
     end_bytes: int = digests.SAMPLE_END_BYTES,
     confirm_all: bool = False,
     shared: DataFrame | None = None,
+    progress: Observation | None = None,
 ) -> DataFrame:
     """Fingerprints: (machine, entry_id, kind, fingerprint).
 
@@ -176,7 +192,7 @@ def settle(
         wanted = readable_objects(shared)
     else:
         wanted = pin(candidates(entries, depth))
-    sampled = pin(sample_pass(content, wanted, end_bytes))
+    sampled = pin(sample_pass(content, wanted, end_bytes, progress))
     confirm = sampled.where(~F.col("complete")) if confirm_all else needing_full_read(sampled)
     confirm = pin(confirm.select("entry_id"))
     full = digest_entries(content, confirm, digests.full_digest(F.col("content")))

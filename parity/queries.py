@@ -516,6 +516,67 @@ def _(t: Given):
     return ownership.provider_report(t.roots, verdicts_on_links(t))
 
 
+def home_listing(t: Given) -> tuple[DataFrame, DataFrame]:
+    """A listing of one home per source, a place per document, and the homes."""
+    turn = F.pmod("doc_id", F.lit(6))
+    home = F.concat(F.lit("/Users/"), "source")
+    at = lambda text, *more: F.concat(home, F.lit(text), *more)
+    linked = turn >= 4
+    place = (
+        F.when(turn == 0, at("/Library/Mobile Documents/com~apple~CloudDocs"))
+        .when(turn == 1, at("/Library/Mobile Documents/app~", F.col("lang")))
+        .when(turn == 2, at("/Library/CloudStorage/OneDrive-", F.col("lang"), F.lit("-x")))
+        .when(turn == 3, at("/Dropbox"))
+        .when(turn == 4, at("/Desktop"))
+        .otherwise(at("/Documents"))
+    )
+    target = F.when(turn == 4, at("/Library/Mobile Documents/Desk")).when(turn == 5, F.lit("/mnt"))
+    docs = t.source("documents")
+    listing = docs.select(
+        F.lit("mac").alias("machine"),
+        place.alias("path"),
+        F.when(linked, F.lit("symlink")).otherwise(F.lit("directory")).alias("kind"),
+        target.alias("link_target"),
+    ).distinct()
+    return listing, docs.select(F.lit("mac").alias("machine"), home.alias("home")).distinct()
+
+
+@query("provider_roots", """
+SELECT DISTINCT 'mac' AS machine, concat('/Users/', source, CASE doc_id % 6
+    WHEN 0 THEN '/Library/Mobile Documents/com~apple~CloudDocs'
+    WHEN 1 THEN concat('/Library/Mobile Documents/app~', lang)
+    WHEN 2 THEN concat('/Library/CloudStorage/OneDrive-', lang, '-x') WHEN 3 THEN '/Dropbox'
+    ELSE '/Library/Mobile Documents/Desk' END) AS path,
+  CASE doc_id % 6 WHEN 2 THEN 'one_drive' WHEN 3 THEN 'dropbox' ELSE 'icloud' END AS provider,
+  CASE doc_id % 6 WHEN 1 THEN concat('app~', lang) WHEN 2 THEN concat(lang, '-x')
+    WHEN 4 THEN 'Desktop' END AS account,
+  CASE doc_id % 6 WHEN 1 THEN 'app_container' WHEN 3 THEN 'legacy_location'
+    WHEN 4 THEN 'home_redirect' ELSE 'provider_mount' END AS origin
+FROM documents WHERE doc_id % 6 <> 5""")
+def _(t: Given):
+    return ownership.mac_roots(*home_listing(t))
+
+
+@query("provider_roots_published", """
+SELECT 'windows' AS machine, concat('/Users/', source, '/', lang) AS path, 'one_drive' AS provider,
+  CASE min(CASE source WHEN 'src1' THEN 1 ELSE 2 END) WHEN 1 THEN 'work' ELSE 'personal' END AS account,
+  'provider_mount' AS origin FROM documents GROUP BY source, lang""")
+def _(t: Given):
+    # Every folder is published twice: under its account and as the primary.
+    path = F.concat(F.lit("/Users/"), "source", F.lit("/"), "lang")
+    account = F.when(F.col("source") == "src1", F.lit("OneDriveCommercial")).otherwise(
+        F.lit("OneDriveConsumer")
+    )
+    docs = t.source("documents").select("source", "lang").distinct()
+    machine = F.lit("windows").alias("machine")
+    folders = docs.select(machine, path.alias("path"), F.lit("directory").alias("kind"))
+    homes = docs.select(machine, F.concat(F.lit("/Users/"), "source").alias("home")).distinct()
+    variables = docs.select(
+        machine, F.explode(F.array(account, F.lit("OneDrive"))).alias("variable"), path.alias("value")
+    )
+    return ownership.windows_roots(folders, homes, variables)
+
+
 # --- keep rules and plans -------------------------------------------------------
 
 for rule in plan.RULES:

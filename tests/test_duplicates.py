@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from filelens import schema
@@ -199,6 +200,13 @@ def test_input_partitioning_does_not_change_the_answer(frame, contents):
     assert one.groups.count() == 40
 
 
+def test_a_pass_reports_its_progress(frame, contents):
+    seen = Observation("sampling")
+    e = frame([entry("/a", 0), entry("/b", 1), entry("/c", 2, 99)])
+    duplicates.settle(e, contents((i, "x" * 10) for i in range(3)), progress=seen)
+    assert seen.get == {"files": 2, "bytes": 20}
+
+
 def test_unknown_depth_is_refused(frame):
     with pytest.raises(ValueError):
         duplicates.candidates(frame([entry("/a", 0)]), "deep")
