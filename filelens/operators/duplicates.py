@@ -195,10 +195,15 @@ def settle(
     sampled = pin(sample_pass(content, wanted, end_bytes, progress))
     confirm = sampled.where(~F.col("complete")) if confirm_all else needing_full_read(sampled)
     confirm = pin(confirm.select("entry_id"))
-    full = digest_entries(content, confirm, digests.full_digest(F.col("content")))
-    full = full.select("entry_id", F.col("digest").alias("whole"))
+    # Where no ends agree there is no second pass over the content.
+    if confirm.isEmpty():
+        read = sampled.withColumn("whole", F.lit(None).cast("string"))
+    else:
+        full = digest_entries(content, confirm, digests.full_digest(F.col("content")))
+        full = full.select("entry_id", F.col("digest").alias("whole"))
+        read = sampled.join(full, "entry_id", "left")
     known = F.col("complete") | F.col("whole").isNotNull()
-    return sampled.join(full, "entry_id", "left").select(
+    return read.select(
         "machine",
         "entry_id",
         F.when(known, F.lit("content")).otherwise(F.lit("sample")).alias("kind"),
