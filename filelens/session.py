@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +39,16 @@ def local_session(cores: str = "8", app: str = "filelens") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    ``spark.checkpoint.dir`` decides. Only a session that names no folder at all
-    (a local test) gets a temporary one.
+    ``spark.checkpoint.dir`` decides. Only a local session that names no folder
+    (a test) gets a temporary one; on a cluster that is refused, since no other
+    machine would see the folder.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
         current = context.getCheckpointDir()
     return current
@@ -55,3 +59,13 @@ def pin(frame: DataFrame) -> DataFrame:
     order and values no longer depend on recomputing what came before."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def keep(frame: DataFrame, *partition_by: str) -> DataFrame:
+    """Write a frame to a Parquet table of its own in the shared folder and read it
+    back: like ``pin``, with columns, statistics and pruning for what reads it."""
+    spark = frame.sparkSession
+    place = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    writer = frame.write.partitionBy(*partition_by) if partition_by else frame.write
+    writer.parquet(place)
+    return spark.read.schema(frame.schema).parquet(place)
