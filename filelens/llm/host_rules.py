@@ -60,7 +60,7 @@ def features(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.when(
         repeats,
-        F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
     hashed = hashed.withColumn("_placed", placed).drop("_windows")
     # Equal windows are neighbours now: both of each pair of neighbours repeat.
@@ -69,7 +69,7 @@ def features(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         F.slice("_placed", F.lit(2), F.size("_placed") - 1),
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
     )
-    starts = F.array_sort(F.array_distinct(F.flatten(F.array_compact(pairs))))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
     hashed = hashed.withColumn("_starts", starts).drop("_placed")
     lines = F.filter(F.split("_text", "\n"), lambda line: F.length(_without(line, SPACES)) > 0)
     hashed = hashed.withColumn("_lines", lines)

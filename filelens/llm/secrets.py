@@ -214,7 +214,7 @@ def spans(docs: DataFrame, rules=RULES) -> DataFrame:
 def _listed(of: Column) -> Column:
     """kind:start:end by start, then rank."""
     return F.array_join(
-        F.transform(F.array_sort(of), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        F.transform(F.sort_array(of), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
 
 
