@@ -23,6 +23,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5
+PARTS = 64  # that the rows of each host are dealt to
 MOST = 0.5  # shrunk share of failing documents above which a host is rejected
 
 
@@ -110,9 +111,11 @@ def host_rates(judged: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, most: float = MOST) -> DataFrame:
     """One row per row of ``docs``: its counts, ``base_failed`` and ``kept``."""
     judged = keep(features(docs).withColumn("base_failed", base_failed()))
-    rejected = host_rates(judged).where(F.col("shrunk_rate") > most).select("host", F.lit(True).alias("_rejected"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long").alias("_part")
+    rejected = host_rates(judged).where(F.col("shrunk_rate") > most).select("host", F.lit(True).alias("_rejected"), every)
+    dealt = judged.withColumn("_part", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(PARTS)))
     return (
-        judged.join(rejected, "host", "left")
+        dealt.join(rejected, ["host", "_part"], "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull())
-        .drop("_rejected")
+        .drop("_rejected", "_part")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm import host_rules, secrets
+from filelens.llm import host_rules, jaccard, packing, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,41 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 )
 def _(spark, sf_dir):
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("host")
+
+
+@query(
+    "op1_warc_index",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT payload_digest, payload_bytes, max(page_id) AS response FROM q WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, CAST(q.payload_bytes AS BIGINT) AS payload_bytes, q.payload_digest,
+  CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to
+FROM q LEFT JOIN m ON q.payload_digest = m.payload_digest AND q.payload_bytes = m.payload_bytes""",
+)
+def _(spark, sf_dir):
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query("op2_linear_grouping")
+def _(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_group_matrix",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(w[i : i + 2], 'string_agg', ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.shingle = y.shingle
+  WHERE x.doc_id <> y.doc_id GROUP BY ALL) AS p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b
+  WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+  JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) AS c ON c.a = d.doc_id""",
+)
+def _(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
