@@ -32,28 +32,35 @@ WIDTH, STRIDE = 12, 4
 EMBED, FILTERS = 6, 24
 LAGS = range(2, 33)
 EPOCHS, BATCH, RATE = 12, 64, 0.01
-GROUP = 256  # chunks that are looked at together
+GROUP = 128  # chunks that are looked at together
 
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
-def chunks(text: str | None) -> np.ndarray:
-    """Overlapping chunks that cover all bytes; the last is filled up with zeros."""
+def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping chunks that cover all bytes (the last is filled up with zeros),
+    and for each the best share of its bytes that equal the byte some lag before."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     count = max(-(-(len(data) - CHUNK) // STEP), 0) + 1
     filled = np.zeros((count - 1) * STEP + CHUNK, np.uint8)
     filled[: len(data)] = data
-    return np.lib.stride_tricks.sliding_window_view(filled, CHUNK)[::STEP]
-
-
-def self_match(block: np.ndarray) -> np.ndarray:
-    """Per chunk the best share of bytes that equal the byte some lag before."""
-    inside = block > 0
-    best = np.zeros(len(block), np.float32)
-    for lag in LAGS:
-        same = ((block[:, lag:] == block[:, :-lag]) & inside[:, lag:]).sum(1, dtype=np.float32)
-        best = np.maximum(best, same / np.maximum(inside[:, lag:].sum(1, dtype=np.float32), 16))
-    return best
+    best = np.zeros(count, np.float32)
+    for at in range(0, count, GROUP):
+        chunk = np.arange(at, min(at + GROUP, count))
+        own = filled[at * STEP : chunk[-1] * STEP + CHUNK]
+        inside = min(len(data) - at * STEP, len(own))
+        # Equal bytes as bits, 64 of them counted at once; chunks are made of such words.
+        same = np.zeros((len(LAGS), len(own)), bool)
+        for row, lag in enumerate(LAGS):
+            if inside > lag:
+                np.equal(own[lag:inside], own[: inside - lag], out=same[row, lag:inside])
+        words = np.bitwise_count(np.packbits(same, axis=1).view(np.uint64))
+        sums = np.zeros((len(LAGS), words.shape[1] + 1), np.int32)
+        np.cumsum(words, axis=1, out=sums[:, 1:])
+        first = (chunk - at) * (STEP // 64)
+        held = np.clip(len(data) - chunk * STEP, 16, CHUNK)
+        best[chunk] = (sums[:, first + CHUNK // 64] - sums[:, first]).max(0) / held
+    return np.lib.stride_tricks.sliding_window_view(filled, CHUNK)[::STEP], best
 
 
 @dataclass
@@ -72,28 +79,34 @@ class Network:
             np.zeros(2 * (FILTERS + 1) + 1, np.float32),
         )
 
-    def windows(self, block: np.ndarray) -> np.ndarray:
-        bytes_at = np.lib.stride_tricks.sliding_window_view(block, WIDTH, axis=1)[:, ::STRIDE]
-        return self.embed[bytes_at].reshape(len(block), PLACES, WIDTH * EMBED)
-
-    def pooled(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per chunk the largest answers of the filters, and where."""
-        made = (self.windows(block).reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(block), PLACES, FILTERS)
-        where = made.argmax(1)
-        top = np.take_along_axis(made, where[:, None], 1)[:, 0] + self.bias
-        return np.maximum(top, 0), where
+    def answers(self, block: np.ndarray) -> np.ndarray:
+        """Per chunk and place the answers of the filters. A filter is as wide as
+        several strides: each stride is multiplied once, then added up."""
+        parts = self.filters.reshape(WIDTH // STRIDE, STRIDE * EMBED, FILTERS)
+        strides = self.embed[block].reshape(-1, STRIDE * EMBED)
+        made = (strides @ parts[0]).reshape(len(block), -1, FILTERS)[:, :PLACES]
+        for at in range(1, len(parts)):
+            made = made + (strides @ parts[at]).reshape(len(block), -1, FILTERS)[:, at : at + PLACES]
+        return made
 
     def document(self, text: str | None) -> np.ndarray:
         """Means and maxima over all chunks of one text."""
-        block = chunks(text)
+        block, match = chunks(text)
         total, most = np.zeros(FILTERS + 1), np.full(FILTERS + 1, -np.inf)
         for at in range(0, len(block), GROUP):
-            some = np.ascontiguousarray(block[at : at + GROUP])
-            answers = np.hstack([self.pooled(some)[0], self_match(some)[:, None]])
-            total += answers.sum(0)
-            most = np.maximum(most, answers.max(0))
+            top = np.maximum(self.answers(block[at : at + GROUP]).max(1) + self.bias, 0)
+            pooled = np.hstack([top, match[at : at + GROUP, None]])
+            total += pooled.sum(0)
+            most = np.maximum(most, pooled.max(0))
         return np.concatenate([total / len(block), most])
 
+    def winners(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per chunk the largest answers of the filters, and where."""
+        made = np.ascontiguousarray(self.answers(block).transpose(0, 2, 1))
+        where = made.argmax(2)
+        top = np.take_along_axis(made, where[:, :, None], 2)[:, :, 0] + self.bias
+        return np.maximum(top, 0), where
+
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Network:
     """Adam over small batches of whole documents."""
@@ -102,8 +115,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Network
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
     second = {n: np.zeros_like(getattr(net, n)) for n in names}
     net.out[-1] = np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))
-    cut = [np.ascontiguousarray(chunks(t)) for t in texts]
-    match = [self_match(c) for c in cut]
+    cut, match = zip(*map(chunks, texts), strict=True)
     step = 0
     for epoch in range(epochs):
         order = draw.permutation(len(texts))
@@ -113,7 +125,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Network
             block = np.concatenate([cut[i] for i in picked])
             owner = np.repeat(np.arange(len(picked)), [len(cut[i]) for i in picked])
             starts = np.searchsorted(owner, np.arange(len(picked)))
-            parts = [net.pooled(block[i : i + GROUP]) for i in range(0, len(block), GROUP)]
+            parts = [net.winners(block[i : i + GROUP]) for i in range(0, len(block), GROUP)]
             top, where = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             answers = np.hstack([top, np.concatenate([match[i] for i in picked])[:, None]])
             sizes = np.bincount(owner, minlength=len(picked))[:, None]

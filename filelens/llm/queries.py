@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.llm import host_rules, jaccard, language, packing, quality, secrets, toxicity, warc
+from filelens.llm import decontaminate, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,6 +117,11 @@ def _(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_feistel_pseudonyms")
+def _(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_family_machines")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -140,3 +145,8 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n O
 )
 def _(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query("op9_templates")
+def _(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

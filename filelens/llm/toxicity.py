@@ -45,12 +45,41 @@ LOOKALIKES = {
 APART = " .-_"
 
 WORD = re.compile(r"[^\W\d_]+")
-_SIGN = "[" + re.escape("".join(LOOKALIKES)) + "]"
-DISGUISED = re.compile(
-    rf"(?<![^\W_])(?:[^\W\d_][ .\-_]){{3,}}[^\W\d_](?![^\W_])"  # letters set apart
-    rf"|(?<![\w{re.escape('@$+*')}])(?=\S{{3,24}}(?!\S))[^\W\d_]*(?:[^\W\d_]{_SIGN}+[^\W\d_]|{_SIGN}[^\W\d_]{{2}})(?:[^\W\d_]|{_SIGN})*"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # repeated letters
-)
+_SIGNS = re.escape("".join(LOOKALIKES))
+SET_APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_][^\W\d_]){3,}(?![^\W_])")
+SIGNED = re.compile(rf"[{_SIGNS}][^\W\d_]")
+SIGNED_WORD = re.compile(rf"[^\W\d_](?:[{_SIGNS}]+[^\W\d_])|[{_SIGNS}][^\W\d_]{{2}}")
+REPEATED = re.compile(r"([^\W\d_])\1\1")
+LONGEST_SIGNED = 24
+_GAP = re.compile(r"\s|$")
+
+
+def disguised(text: str) -> list[str]:
+    """Parts of a lower-case text that may be other words: letters set apart, words
+    with signs or digits among their letters, and words that repeat a letter."""
+    found = [m[0] for m in SET_APART.finditer(text)]
+    end = 0
+    for match in SIGNED.finditer(text):
+        if match.start() < end:
+            continue
+        start = max(text.rfind(c, 0, match.start()) for c in " \n\t") + 1
+        end = _GAP.search(text, match.end()).start()
+        word = text[start:end].strip("!.,;:?\"'()[]")
+        letters = sum(map(str.isalpha, word[: LONGEST_SIGNED + 1]))
+        if 3 <= len(word) <= LONGEST_SIGNED and 2 * letters >= len(word) and SIGNED_WORD.search(word):
+            found.append(word)
+    end = 0
+    for match in REPEATED.finditer(text):
+        if match.start() < end:
+            continue
+        start, end = match.start(), match.end()
+        while start and text[start - 1].isalpha():
+            start -= 1
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        found.append(text[start:end])
+    return found
+
 
 SYMBOLS = 64  # none, a-z, the Latin letters from ß on, any other letter
 _CODES = np.zeros(0x10000, np.uint8)
@@ -103,18 +132,19 @@ def restore(token: str, model: np.ndarray) -> str:
     token = token.lower()
     apart = len(token) > 2 and all(c in APART for c in token[1::2])
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    before = ""
+    before, run = "", 0
     for at, sign in enumerate(token):
         ways: list[tuple[str, float]] = []
         if sign.isalpha():
             ways.append((sign, -0.05))
-            if sign == before:
-                ways.append(("", -0.7))
+            run = run + 1 if sign == before else 1
+            if run > 1:
+                ways.append(("", -1.5 if run == 2 else -0.2))
         elif apart and sign in APART:
             ways.append(("", -0.05))
         else:
-            ways += [(letter, -1.0 - 0.7 * i) for i, letter in enumerate(LOOKALIKES.get(sign, ""))]
-            ways.append(("", -4.0))
+            ways += [(letter, -0.7 - 0.5 * i) for i, letter in enumerate(LOOKALIKES.get(sign, ""))]
+            ways.append(("", -8.0))
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, made) in states.items():
             for letter, cost in ways:
@@ -138,8 +168,7 @@ class Reader:
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
         found = set(WORD.findall(text))
-        for match in DISGUISED.finditer(text):
-            token = match[0]
+        for token in disguised(text):
             if len(token) > 60:
                 token = re.sub(r"(.)\1{2,}", r"\1\1", token)[:200]
             if token not in self.memo:
