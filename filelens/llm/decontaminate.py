@@ -101,7 +101,7 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     slot = kind != 0
     # Numbers or names that follow each other fill one slot.
     goes_on = np.zeros(len(words), bool)
-    goes_on[1:] = (kind[1:] == kind[:-1]) & slot[1:] & (kind[1:] != _UNIT) & ~opens[1:]
+    goes_on[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == _NUMBER) | ((kind[1:] == _NAME) & ~opens[1:]))
     heads = np.flatnonzero(~goes_on)
     values = np.add.reduceat(tx.mix(words + (np.arange(len(words)) - np.repeat(heads, np.diff([*heads, len(words)]))).astype(np.uint64)), heads) if len(heads) else words
     tokens = np.where(slot, kind, words)[heads]

@@ -111,7 +111,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, most: float = MOST) -> DataFrame:
     """One row per row of ``docs``: its counts, ``base_failed`` and ``kept``."""
     judged = keep(features(docs).withColumn("base_failed", base_failed()))
-    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long").alias("_part")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part")
     rejected = host_rates(judged).where(F.col("shrunk_rate") > most).select("host", F.lit(True).alias("_rejected"), every)
     dealt = judged.withColumn("_part", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(PARTS)))
     return (

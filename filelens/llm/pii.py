@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from filelens.llm import text as tx
 
@@ -246,7 +247,7 @@ def _changed(docs: DataFrame, key: bytes, back: bool, counted: bool) -> DataFram
                 columns += [pa.array([c[k] for _, c in made], pa.int64()) for k in KINDS]
             yield pa.record_batch(columns, [*batch.schema.names, *(names if counted else [])])
 
-    shape = docs.schema
+    shape = StructType(list(docs.schema.fields))
     for name in names if counted else []:
         shape = shape.add(name, "long")
     return docs.mapInArrow(change, shape)
