@@ -66,7 +66,7 @@ def category_of(path: Column) -> Column:
     name = paths.file_name(path)
     found = paths.extension(path)
     only_dot_name = F.startswith(name, F.lit(".")) & ~F.contains(
-        F.substring(name, 2, 1 << 30), F.lit(".")
+        F.substr(name, F.lit(2)), F.lit(".")
     )
     chain = F.when(F.arrays_overlap(paths.parts(path), places), F.lit("system")).when(
         only_dot_name, F.lit("system")

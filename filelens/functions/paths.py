@@ -108,7 +108,8 @@ NAME_SEPARATOR = "a name cannot contain a path separator — to move something,
 
 
 def trimmed_name(name: Column) -> Column:
-    return F.regexp_replace(name, r"^\s+|\s+$", "")
+    """Without blanks at either end, in the sense of Unicode."""
+    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
 
 
 def name_trouble(name: Column) -> Column:

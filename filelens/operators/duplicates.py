@@ -118,17 +118,18 @@ def readable_objects(objects: DataFrame) -> DataFrame:
 def digest_entries(
     content: DataFrame, wanted: DataFrame, digest: Column, limit: int = scale.BROADCAST_ROWS
 ) -> DataFrame:
-    """Digest the wanted entries of a content table (entry_id, content).
+    """Digest the wanted entries of a content table (entry_id, content), and no others.
 
-    A wanted list of bounded size filters the scan; beyond that every row is
-    digested where it is read and only (id, digest) is shuffled to the join.
+    The digest is evaluated above the semi join at every size. A list whose size was
+    checked is broadcast to the scan; a longer one meets the content where both are
+    bucketed by ``entry_id`` (see ``sources.inventory.write_content``), which moves
+    neither.
     """
-    rows = content.select("entry_id", "content")
     ids = wanted.select("entry_id")
     if scale.is_small(ids, limit):
-        kept = rows.join(F.broadcast(ids), "entry_id", "left_semi")
-        return kept.select("entry_id", digest.alias("digest"))
-    return rows.select("entry_id", digest.alias("digest")).join(ids, "entry_id", "left_semi")
+        ids = F.broadcast(ids)
+    kept = content.select("entry_id", "content").join(ids, "entry_id", "left_semi")
+    return kept.select("entry_id", digest.alias("digest"))
 
 
 def watched(read: DataFrame, progress: Observation | None) -> DataFrame:
@@ -214,9 +215,9 @@ def settle(
 def settled_objects(shared: DataFrame, settled: DataFrame) -> DataFrame:
     """Objects sharing a size, with the state of their first name."""
     state = settled.select(
-        F.col("entry_id").alias("first_name"), F.col("kind").alias("state"), "fingerprint"
+        "machine", F.col("entry_id").alias("first_name"), F.col("kind").alias("state"), "fingerprint"
     )
-    return shared.join(state, "first_name", "left")
+    return shared.join(state, ["machine", "first_name"], "left")
 
 
 def group_tables(

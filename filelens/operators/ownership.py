@@ -188,7 +188,10 @@ def mac_roots(entries: DataFrame, homes: DataFrame) -> DataFrame:
         paths.parent(F.col("path")).alias("folder"),
         paths.file_name(F.col("path")).alias("name"),
     )
-    inside = scale.look_up(inside, homes, ["machine"], "path", "inner")
+    # An entry that tells of a root lies in its home, or in a folder two levels below.
+    near = F.array_distinct(F.array("folder", paths.parent(paths.parent(F.col("folder")))))
+    inside = inside.withColumn("home", F.explode(near)).where("home is not null")
+    inside = scale.look_up(inside, homes.distinct(), ["machine", "home"], "path", "inner")
     name, folder, kind = F.col("name"), F.col("folder"), F.col("kind")
     icloud = folder == at(ICLOUD_FOLDER)
     mount = folder == at(FILE_PROVIDER_FOLDER)

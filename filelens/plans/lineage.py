@@ -30,7 +30,8 @@ STAGE_TABLE = (
     "least_inputs int, most_inputs int"
 )
 
-# Ids say where a row stood in its input, not what it is; digests leave them out.
+# Ids say where a row stood in its input, not what it is; digests of content alone
+# leave them out.
 POSITIONAL = ("entry_id", "group_id", "object_id", "first_name", "first_entry")
 
 FOLD_HEX = 3
@@ -40,12 +41,12 @@ def stages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STAGES), STAGE_TABLE)
 
 
-def _canonical(frame: DataFrame) -> Column:
+def _canonical(frame: DataFrame, with_ids: bool) -> Column:
     """A row as text: named fields in a fixed order, absent told from zero, times
     as signed microseconds."""
     fields = []
     for field in sorted(frame.schema.fields, key=lambda f: f.name):
-        if field.name in POSITIONAL:
+        if field.name in POSITIONAL and not with_ids:
             continue
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.TimestampType):
@@ -54,9 +55,14 @@ def _canonical(frame: DataFrame) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def content_digest(tables: Mapping[str, DataFrame], parents: tuple[str, ...] = ()) -> str:
+def content_digest(
+    tables: Mapping[str, DataFrame], parents: tuple[str, ...] = (), with_ids: bool = False
+) -> str:
     """An order-independent digest of named tables, chained to parent digests.
 
+    ``with_ids`` covers the ids too. A stored artifact needs that: later stages join on
+    its ids, so a row that changes its group or its entry is another artifact.
+
     Equal rows are counted first, so repeated rows cannot pile up. Distinct row
     hashes are uniform; they are folded by prefix, each fold over a bounded number
     of hashes, until one remains.
@@ -65,7 +71,7 @@ def content_digest(tables: Mapping[str, DataFrame], parents: tuple[str, ...] = (
     for name in sorted(tables):
         frame = tables[name]
         marked = frame.select(
-            F.sha2(F.concat(F.lit(f"{name}:"), _canonical(frame)), 256).alias("hash")
+            F.sha2(F.concat(F.lit(f"{name}:"), _canonical(frame, with_ids)), 256).alias("hash")
         )
         rows = marked if rows is None else rows.unionByName(marked)
     counted = pin(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))

@@ -46,7 +46,7 @@ def _exact_names(entries: DataFrame, analysis: Analysis) -> DataFrame:
         "group_id", "names", F.col("digest").alias("content")
     )
     names = scale.join_hot(
-        analysis.members.select("group_id", "object_id", "entry_id", "first_name"),
+        analysis.members.select("machine", "group_id", "object_id", "entry_id", "first_name"),
         exact,
         ["group_id"],
         "names",
@@ -61,7 +61,7 @@ def _exact_names(entries: DataFrame, analysis: Analysis) -> DataFrame:
         "allocated_size",
         F.unix_seconds("modified").alias("modified_s"),
     )
-    return names.join(facts, "entry_id")
+    return names.join(facts, ["machine", "entry_id"])
 
 
 def kept(entries: DataFrame, analysis: Analysis, rule: str, under: str | None = None) -> DataFrame:
@@ -129,7 +129,7 @@ def resolve(
 def combine(by_rule: DataFrame, requested: DataFrame) -> DataFrame:
     """What was asked for wins: no rule operation on an entry already asked about,
     no folder made twice."""
-    asked = requested.where("entry_id is not null").select("entry_id").distinct()
+    asked = requested.where("entry_id is not null").select("machine", "entry_id").distinct()
     folders = (
         requested.where("kind = 'create_directory'").select("machine", "destination").distinct()
     )
@@ -137,7 +137,7 @@ def combine(by_rule: DataFrame, requested: DataFrame) -> DataFrame:
     acting = by_rule.where("kind <> 'create_directory'")
     return (
         requested.unionByName(making.join(folders, ["machine", "destination"], "left_anti"))
-        .unionByName(acting.join(asked, "entry_id", "left_anti"))
+        .unionByName(acting.join(asked, ["machine", "entry_id"], "left_anti"))
         .select(*schema.OPERATION.fieldNames())
     )
 
@@ -227,8 +227,8 @@ def effect(operations: DataFrame, members: DataFrame | None = None) -> DataFrame
         total("frees_bytes").alias("frees_bytes"),
     ]
     if members is not None:
-        firsts = members.where("entry_id = first_name").select("entry_id", F.lit(True).alias("own"))
-        operations = operations.join(firsts, "entry_id", "left")
+        firsts = members.where("entry_id = first_name").select("machine", "entry_id", F.lit(True).alias("own"))
+        operations = operations.join(firsts, ["machine", "entry_id"], "left")
         once = F.when(F.col("own"), F.col("frees_bytes"))
         figures.append(total(once).alias("frees_bytes_distinct"))
     return operations.agg(*figures)

@@ -73,6 +73,19 @@ def with_paths(frame: DataFrame, entries: DataFrame) -> DataFrame:
     return frame.join(entries.select("entry_id", "path"), "entry_id")
 
 
+def _check_parents(stage: str, parents: Sequence[Artifact], machines: Sequence[str]) -> None:
+    """The chain gate: as many inputs as the stage takes, of its kind, and a stage that
+    changes a machine may run on nothing but the one machine its input is about."""
+    _, input_kind, _, mutates, least, most = next(s for s in STAGES if s[0] == stage)
+    if len(parents) < least or (most is not None and len(parents) > most):
+        raise ArtifactError(f"{stage} takes {least} inputs, not {len(parents)}")
+    wrong = sorted({p.kind for p in parents} - {input_kind})
+    if wrong:
+        raise ArtifactError(f"{stage} follows {input_kind} artifacts, not {wrong}")
+    if mutates and not all(len(machines) == 1 and p.is_executable_on(machines[0]) for p in parents):
+        raise ArtifactError(f"{stage} runs on the one machine that its input is about")
+
+
 def write(
     spark: SparkSession,
     path: str,
@@ -89,6 +102,7 @@ def write(
     unknown = set(tables) - set(TABLES[kind])
     if unknown:
         raise ArtifactError(f"{kind} artifacts hold {TABLES[kind]}, not {sorted(unknown)}")
+    _check_parents(stage, parents, machines)
     mode = "overwrite" if replace else "errorifexists"
     try:
         for name, frame in tables.items():
@@ -109,7 +123,7 @@ def write(
         "merged": stage == "merge",
         "created_at": datetime.now(timezone.utc),
         "scope_digest": scope_digest or (parents[0].header["scope_digest"] if parents else None),
-        "content_digest": content_digest(written, digests),
+        "content_digest": content_digest(written, digests, with_ids=True),
         "path_encoding": path_encoding,
     }
     row = [tuple(header[f] for f in schema.HEADER.fieldNames())]
@@ -137,7 +151,7 @@ def read(spark: SparkSession, path: str, kind: str | None = None, verify: bool =
             tables[name] = spark.read.parquet(f"{path}/{name}")
         except AnalysisException:
             continue
-    if verify and content_digest(tables, tuple(header["parents"])) != header["content_digest"]:
+    if verify and content_digest(tables, tuple(header["parents"]), with_ids=True) != header["content_digest"]:
         raise ArtifactError(f"{path} is not what its header says it is")
     return Artifact(header, tables)
 

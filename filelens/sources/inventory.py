@@ -31,20 +31,69 @@ class Inventory:
         return self.unread.isEmpty()
 
 
-def read_inventory(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> Inventory:
+def read_inventory(
+    spark: SparkSession,
+    paths: Sequence[str],
+    fmt: str = "parquet",
+    unread: Sequence[str] = (),
+    renumber: bool = False,
+) -> Inventory:
     """Metadata rows of several roots, in order, overlaps kept as they are.
 
-    JSON rows that do not parse become unread places instead of vanishing.
+    ``unread`` names the ledgers that belong to Parquet inputs. Lines of JSON or of an
+    export ('ndjson') that do not parse become unread places instead of vanishing.
+    With ``renumber`` entries get ids of their own, in the order of machine and path.
+    Ids must not repeat on a machine; ``checked`` refuses those that do.
     """
     if not paths:
         raise ValueError("an inventory needs at least one input")
     if fmt == "parquet":
-        frames = [spark.read.schema(schema.ENTRY).parquet(p) for p in paths]
-        return Inventory(
-            reduce(DataFrame.unionByName, frames), spark.createDataFrame([], schema.UNREAD)
-        )
-    if fmt != "json":
-        raise ValueError("inventories are read from 'parquet' or 'json'")
+        none = spark.createDataFrame([], schema.UNREAD)
+        ledgers = [spark.read.schema(schema.UNREAD).parquet(p) for p in unread]
+        entries = [spark.read.schema(schema.ENTRY).parquet(p) for p in paths]
+        found = Inventory(_united(entries), _united([*ledgers, none][: len(ledgers) or 1]))
+    elif fmt == "ndjson":
+        from filelens.sources.ndjson import read_ndjson
+
+        found = Inventory(*map(_united, zip(*[_of_export(read_ndjson, spark, p) for p in paths])))
+    elif fmt == "json":
+        found = _read_json(spark, paths)
+    else:
+        raise ValueError("inventories are read from 'parquet', 'json' or 'ndjson'")
+    return Inventory(numbered(found.entries), found.unread) if renumber else found
+
+
+def _united(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _of_export(read: Callable, spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    inventory, _, _ = read(spark, path)
+    return inventory.entries, inventory.unread
+
+
+def numbered(entries: DataFrame) -> DataFrame:
+    """Entries with unique ids in the order of machine, path and former id."""
+    order = [F.col("machine"), F.col("path"), F.col("entry_id")]
+    ids = number_rows(entries.withColumnRenamed("entry_id", "_was"), [*order[:2], F.col("_was")], "entry_id")
+    return ids.select(*entries.columns)
+
+
+def checked(entries: DataFrame) -> DataFrame:
+    """The same entries; raises if an id repeats on a machine."""
+    repeated = entries.groupBy("machine", "entry_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("entry ids repeat on a machine; read with renumber=True")
+    return entries
+
+
+def write_content(content: DataFrame, table: str, buckets: int) -> None:
+    """A content table bucketed by ``entry_id``: what is wanted of it meets it without
+    moving content."""
+    content.write.bucketBy(buckets, "entry_id").sortBy("entry_id").saveAsTable(table)
+
+
+def _read_json(spark: SparkSession, paths: Sequence[str]) -> Inventory:
     shape = schema.table(f"{CORRUPT} string")
     for field in schema.ENTRY.fields:
         shape.add(field)

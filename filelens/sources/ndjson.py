@@ -21,6 +21,7 @@ RECORD = (
     "link struct<text:string,bytes:string>, target struct<text:string,bytes:string>, "
     "verdict string, reason string, detail string, entry_id long"
 )
+CORRUPT = "_corrupt"
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -120,9 +121,33 @@ def export_ndjson(lines: DataFrame, path: str, replace: bool = False) -> None:
     )
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its record and file; lines that do not parse have none."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return (
+        spark.read.text(path)
+        .select(
+            F.from_json("value", f"{RECORD}, {CORRUPT} string", options).alias("row"),
+            F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("file"),
+        )
+        .where(F.length(F.trim("line")) > 0)
+        .select("row.*", "line", "file")
+    )
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """The header of an export, or no row."""
+    lines = spark.read.text(path).select(
+        F.from_json("value", f"record string, header {schema.HEADER.simpleString()}").alias("row")
+    )
+    return lines.where("row.record = 'header'").select("row.header.*")
+
+
 def read_ndjson(spark: SparkSession, path: str) -> tuple[Inventory, DataFrame, DataFrame]:
-    """An exported inventory back as tables: (inventory, roots, links)."""
-    rows = spark.read.schema(RECORD).json(path)
+    """An exported inventory back as tables: (inventory, roots, links). A line that is
+    no record becomes an unread place; headers are read by ``read_header``."""
+    rows = _parsed(spark, path)
     raw = F.unhex("path.bytes")
     entries = rows.where("record = 'entry'").select(
         "machine",
@@ -139,8 +164,17 @@ def read_ndjson(spark: SparkSession, path: str) -> tuple[Inventory, DataFrame, D
         F.col("link_target.text").alias("link_target"),
         "cloud",
     )
-    unread = rows.where("record = 'unread'").select(
-        "machine", F.col("path.text").alias("path"), "reason", "detail"
+    known = F.col("record").isin(*SECTIONS)
+    broken = rows.where(F.col(CORRUPT).isNotNull() | ~F.coalesce(known, F.lit(False))).select(
+        F.lit(None).cast("string").alias("machine"),
+        F.col("file").alias("path"),
+        F.lit("other").alias("reason"),
+        F.col("line").alias("detail"),
+    )
+    unread = (
+        rows.where("record = 'unread'")
+        .select("machine", F.col("path.text").alias("path"), "reason", "detail")
+        .unionByName(broken)
     )
     roots = rows.where("record = 'cloud_root'").select(
         "machine", F.col("path.text").alias("path"), "provider", "account", "origin"

@@ -68,7 +68,7 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observed_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content as the later snapshot has it: German documents were rewritten."""
     text = F.col("text")
-    rewritten = F.concat(F.lit("x"), F.substring(text, 2, 1 << 30))
+    rewritten = F.concat(F.lit("x"), F.substr(text, F.lit(2)))
     return source(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("entry_id"),
         F.when(F.col("lang") == "de", rewritten).otherwise(text).alias("content"),

@@ -105,6 +105,48 @@ def test_an_analysis_names_its_parent_and_comes_back(spark, frame, contents, pla
         artifacts.write(spark, f"{place}/x", "analyze", {"entries": e}, ["mac"])
 
 
+def test_moved_members_and_wrong_parents_are_refused(spark, frame, contents, place):
+    e = frame([entry(f"/{i}", i) for i in range(4)])
+    base = artifacts.write(spark, f"{place}/m.inv", "scan", {"entries": e}, ["mac"])
+    found = duplicates.analyze(e, contents([(0, "x" * 10), (1, "x" * 10), (2, "y" * 10), (3, "y" * 10)]))
+    members = artifacts.with_paths(found.members, e)
+    tables = {"groups": found.groups, "members": members}
+    artifacts.write(spark, f"{place}/m.an", "analyze", tables, ["mac"], [base])
+    swap = {0: 2, 2: 0}
+    for column in ("entry_id", "group_id"):
+        of = F.create_map(*[F.lit(x) for kv in swap.items() for x in kv]) if column == "entry_id" else None
+        new = F.coalesce(F.try_element_at(of, F.col(column)), F.col(column)) if of is not None else -F.col(column)
+        spark.createDataFrame(members.withColumn(column, new.cast("long")).collect(), members.schema) \
+            .write.mode("overwrite").parquet(f"{place}/m.an/members")
+        with pytest.raises(artifacts.ArtifactError, match="not what its header"):
+            artifacts.read(spark, f"{place}/m.an")
+    with pytest.raises(artifacts.ArtifactError, match="inputs"):
+        artifacts.write(spark, f"{place}/m.2", "analyze", tables, ["mac"], [base, base])
+    with pytest.raises(artifacts.ArtifactError, match="follows"):
+        artifacts.write(spark, f"{place}/m.3", "plan", {}, ["mac"], [base])
+
+
+def test_broken_lines_of_an_export_are_unread_places(spark, shapes, place):
+    lines = ndjson.records(shapes["entries"], shapes["unread"])
+    broken = spark.createDataFrame([("{broken",), ('{"record": "no such"}',), ("[1]",)], "line string")
+    lines.select("line").unionByName(broken).write.mode("overwrite").text(place)
+    found = inventory.read_inventory(spark, [place], "ndjson")
+    assert found.entries.count() + found.unread.count() == lines.count() + 3
+    assert {r.detail for r in found.unread.collect()} >= {"{broken", '{"record": "no such"}', "[1]"}
+    again = inventory.read_inventory(spark, [place, place], "ndjson", renumber=True)
+    assert rows(again.entries, "entry_id") == [(i,) for i in range(2 * found.entries.count())]
+    inventory.checked(again.entries)
+    with pytest.raises(ValueError, match="repeat"):
+        inventory.checked(inventory.read_inventory(spark, [place, place], "ndjson").entries)
+
+
+def test_a_ledger_travels_with_parquet(spark, shapes, place):
+    shapes["entries"].write.mode("overwrite").parquet(f"{place}/e")
+    shapes["unread"].write.mode("overwrite").parquet(f"{place}/u")
+    found = inventory.read_inventory(spark, [f"{place}/e"], unread=[f"{place}/u"])
+    assert rows(found.unread) == rows(shapes["unread"]) and not found.is_complete()
+
+
 def test_text_export_and_back(spark, shapes, place):
     lines = ndjson.records(shapes["entries"], shapes["unread"], shapes["roots"], shapes["links"])
     ndjson.export_ndjson(lines, place, replace=True)

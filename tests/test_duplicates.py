@@ -100,6 +100,22 @@ def test_digesting_is_the_same_when_the_list_is_too_long_to_broadcast(frame, con
     )
 
 
+def test_nothing_unwanted_is_digested_at_any_size(spark, contents):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(text):
+        seen.add(1)
+        return text
+
+    content = contents((i, str(i)) for i in range(50))
+    wanted = spark.range(0, 50, 10).withColumnRenamed("id", "entry_id")
+    for limit in (100, 0):
+        before = seen.value
+        assert duplicates.digest_entries(content, wanted, F.udf(mark)("content"), limit).count() == 5
+        duplicates.digest_entries(content, wanted, F.udf(mark)("content"), limit).collect()
+        assert seen.value - before == 5
+
+
 def test_groups_are_numbered_by_size_then_digest_candidates_last(frame, contents):
     e = frame(
         [entry(f"/{i}", i, 5) for i in range(5)] + [entry(f"/b{i}", 10 + i, 3) for i in range(2)]

@@ -62,11 +62,11 @@ def test_short_paths_and_quarantine_places(spark):
 
 def test_names_are_names(spark):
     got = values(
-        spark, ["ok", " ok ", "", "  ", ".", "..", "a/b", "..."], paths.name_trouble(F.col("v"))
+        spark, ["ok", " ok ", "", "  ", ".", "..", "a/b", "...", "\u00a0", "\u2003x\u00a0"], paths.name_trouble(F.col("v"))
     )
     assert [g[0] for g in got] == [
         None, None, paths.NAME_EMPTY, paths.NAME_EMPTY, paths.NAME_DOTS, paths.NAME_DOTS,
-        paths.NAME_SEPARATOR, None,
+        paths.NAME_SEPARATOR, None, paths.NAME_EMPTY, None,
     ]
 
 

@@ -89,6 +89,16 @@ def test_what_was_asked_for_wins(frame):
     assert sorted(r.destination for r in both.where("kind = 'create_directory'").collect()) == ["/m", "/n"]
 
 
+def test_ids_of_other_machines_are_other_entries(frame):
+    asked = operations(frame, ("move", 5, "/a", "/n"))
+    ruled = operations(frame, ("quarantine", 5, "/a", None), ("quarantine", 6, "/b", None))
+    elsewhere = ruled.withColumn("machine", F.lit("pc"))
+    both = plan.combine(ruled.unionByName(elsewhere), asked)
+    assert rows(both, "machine", "kind", "entry_id") == [
+        ("mac", "move", 5), ("mac", "quarantine", 6), ("pc", "quarantine", 5), ("pc", "quarantine", 6)
+    ]
+
+
 def test_folders_then_moves_then_quarantines_by_path(frame):
     made = plan.ordered(operations(
         frame, ("quarantine", 1, "/a", None), ("move", 2, "/z", "/b-c/x"), ("move", 3, "/y", "/b/x"),
