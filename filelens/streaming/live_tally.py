@@ -1,77 +1,61 @@
 """A running tally over an arriving step log.
 
-A step may resolve at any later time, so there is no watermark: the latest record
-of each step is kept as state, and only differences leave the operator. The tally
-is the sum of the differences, whatever order records arrive in.
+A step may resolve at any later time, so there is no watermark: Spark keeps the latest
+record of each step as the state of a streaming aggregation and puts out the steps of
+each batch whose record changed. The tally is an aggregate of the last ones, whatever
+order records arrive in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filelens import schema
 
-CHANGE = "sequence long, progress string, steps long, freed long"
-HELD = "attempt int, at long, progress string, freed long"
+CHANGE = "sequence long, attempt int, at_micros long, progress string, freed long"
 
 
-def _newer(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    held = state.get if state.exists else None
-    best = held
-    for rows in batches:
-        for row in rows.itertuples(index=False):
-            record = (int(row.attempt), int(row.at_micros), row.progress, int(row.freed))
-            if best is None or record[:2] >= tuple(best[:2]):
-                best = record
-    if best == held:
-        return
-    state.update(best)
-    out = [] if held is None else [(key[0], held[2], -1, -held[3])]
-    out.append((key[0], best[2], 1, best[3]))
-    yield pd.DataFrame(out, columns=["sequence", "progress", "steps", "freed"])
+def _age() -> Column:
+    """Later attempts win, then later times; of two records of one moment the one that
+    resolves the step, then the larger text, so arrival never decides."""
+    return F.struct("attempt", "at_micros", F.col("progress") != "intended", "progress", "freed")
 
 
-def _latest_in_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep each step's latest record before the shuffle, so that a step recorded
-    very often sends one row per batch to the task that holds its state."""
-    for rows in batches:
-        yield rows.sort_values(["attempt", "at_micros"]).drop_duplicates("sequence", keep="last")
+def _latest(records: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct("attempt", "at_micros", "progress", "freed"), _age())
+    return records.groupBy("sequence").agg(newest.alias("latest")).select("sequence", "latest.*")
 
 
 def changes(steps: DataFrame) -> DataFrame:
-    """Differences to the tally as a stream of steps arrives. A ``frees_bytes``
+    """The latest record of each step as a stream of steps arrives. A ``frees_bytes``
     column prices a step; only done steps free anything."""
     price = F.coalesce("frees_bytes", F.lit(0)) if "frees_bytes" in steps.columns else F.lit(0)
     priced = steps.select(
-        "sequence",
-        "attempt",
+        F.col("sequence").cast("long"),
+        F.col("attempt").cast("int"),
         F.unix_micros("at").alias("at_micros"),
         "progress",
         F.when(F.col("progress") == "done", price).otherwise(F.lit(0)).cast("long").alias("freed"),
     )
-    fewer = priced.mapInPandas(_latest_in_batch, priced.schema)
-    return fewer.groupBy("sequence").applyInPandasWithState(
-        _newer, CHANGE, HELD, "append", GroupStateTimeout.NoTimeout
-    )
+    return _latest(priced)
 
 
 def start(
     spark: SparkSession, step_dir: str, change_dir: str, checkpoint: str, frees: bool = False
 ) -> StreamingQuery:
-    """Follow a step folder, writing differences; runs over what is there and stops."""
+    """Follow a step folder, writing each batch's changes to a folder of its own (a
+    batch that is run again replaces it); runs over what is there and stops."""
     shape = schema.STEP if not frees else schema.STEP_PRICED
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{change_dir}/batch={number}")
+
     return (
         changes(spark.readStream.schema(shape).parquet(step_dir))
-        .writeStream.format("parquet")
-        .option("path", change_dir)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -79,14 +63,16 @@ def start(
 
 
 def tally(changes_so_far: DataFrame) -> DataFrame:
-    """The tally after the differences seen so far."""
-    count = lambda p: F.coalesce(
-        F.sum(F.when(F.col("progress") == p, F.col("steps"))), F.lit(0)
+    """The tally after the changes seen so far."""
+    progress = F.col("progress")
+    return (
+        _latest(changes_so_far.select("sequence", "attempt", "at_micros", "progress", "freed"))
+        .agg(
+            F.count_if(progress == "done").alias("done"),
+            F.count_if(progress == "skipped").alias("skipped"),
+            F.count_if(progress == "failed").alias("failed"),
+            F.count_if(progress == "intended").alias("unresolved"),
+            F.coalesce(F.sum("freed"), F.lit(0)).alias("freed"),
+        )
+        .withColumn("settled", F.col("unresolved") == 0)
     )
-    return changes_so_far.agg(
-        count("done").alias("done"),
-        count("skipped").alias("skipped"),
-        count("failed").alias("failed"),
-        count("intended").alias("unresolved"),
-        F.coalesce(F.sum("freed"), F.lit(0)).alias("freed"),
-    ).withColumn("settled", F.col("unresolved") == 0)
