@@ -7,7 +7,8 @@ joins, and ordering within or across groups is done by range partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +16,26 @@ from pyspark.sql import functions as F
 from filelens.session import pin
 
 # A key outside the heaviest HEAVY_KEYS holds at most 1/HEAVY_KEYS of the rows,
-# so this fixed number bounds the broadcast and leaves nothing hot behind.
-HEAVY_KEYS = 1000
+# so this fixed number bounds the broadcast (a few MB) and leaves nothing hot behind.
+HEAVY_KEYS = 100_000
 SLICE_ROWS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
 
+_forced: list[int] = []
+
+
+@contextmanager
+def sliced(rows: int) -> Iterator[None]:
+    """While plans are built inside, joins cut every key above ``rows`` rows, however
+    small the frames are: the plan of large inputs, on small ones."""
+    _forced.append(rows)
+    try:
+        yield
+    finally:
+        _forced.pop()
+
+
 def join_hot(
     many: DataFrame,
     one: DataFrame,
@@ -39,6 +54,7 @@ def join_hot(
     a count has shown that no key can be hot (see ``slices_for``).
     """
     keys = list(keys)
+    slice_rows = _forced[-1] if _forced else slice_rows
     if slice_rows is None:
         return many.join(one, keys, how)
     heavy = (
@@ -131,6 +147,8 @@ def is_small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def slices_for(frame: DataFrame, slice_rows: int = SLICE_ROWS) -> int | None:
     """Slice size for joins of a frame's rows; None when the whole frame is no
     larger than one slice, so that none of its keys can be hot."""
+    if _forced:
+        return _forced[-1]
     return None if is_small(frame, slice_rows) else slice_rows
 
 

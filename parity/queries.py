@@ -173,6 +173,19 @@ def _(t: Given):
     return duplicates.analysis_of(t.entries, t.settled).members
 
 
+def sliced(key: str, of: str, rows: int = 3):
+    """A query once more, with every key above a few rows cut into slices."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scale.sliced(rows):
+            return QUERIES[of](spark, sf_dir)
+
+    QUERIES[key], ORACLE[key] = build, ORACLE[of]
+
+
+sliced("group_members_sliced", "group_members")
+
+
 @query("group_copies", """
 SELECT m.group_id, m.object_id, m.entry_id, f.path, f.modified_s,
   f.residency NOT IN ('remote', 'partial', 'unknown') AS local, m.entry_id <> m.first_name AS same_file
@@ -383,6 +396,9 @@ def _(t: Given):
     return compare.exclusive_entries(marks[0].unionByName(marks[1]))
 
 
+sliced("exclusive_entries_sliced", "exclusive_entries")
+
+
 @query("sources_among", """
 SELECT group_id, string_agg(DISTINCT machine, ',' ORDER BY machine) AS machines FROM v_member GROUP BY 1""")
 def _(t: Given):
@@ -596,6 +612,9 @@ def _(t: Given):
     )
 
 
+sliced("quarantine_operations_sliced", "quarantine_operations")
+
+
 @query("plan_effect", """
 SELECT count(*) AS quarantined, CAST(0 AS BIGINT) AS moved, CAST(0 AS BIGINT) AS directories,
   CAST(sum(frees_bytes) AS BIGINT) AS frees_bytes, CAST(coalesce(sum(frees_bytes) FILTER
