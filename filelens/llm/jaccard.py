@@ -1,14 +1,14 @@
 """Near-duplicate join on word shingles by a token-group matrix. Exact.
 
 Texts with equal shingle sets become one class, stood for by its smallest document.
-Classes are partitioned into groups of similar ones: those with the same smallest
-shingle, if their bottom sketches agree with the sketch of the smallest of them;
-others stay alone. Large groups are cut into blocks. The matrix holds, for each
-block, the union of the tokens of which its members must share one with anything
-they link to (a prefix of each set in one order, frequent tokens last), with the span
-of set sizes. Two blocks of which no member can reach the wanted overlap share no
-such token or differ too much in size; only the other pairs of blocks are opened,
-and their sets compared. An opened pair returns links that span its components, so
+Classes are partitioned into groups of similar ones: those with one of their smallest
+shingles in common, if their bottom sketches agree with the sketch of the first of
+them; others stay alone. Large groups are cut into blocks. The matrix holds, for each
+block, the union of the tokens of which its members must share several with
+anything they link to (a prefix of each set in one order, frequent tokens last), with
+the span of set sizes. Two blocks of which no members can reach the wanted overlap
+share fewer such tokens or differ too much in size; only the other pairs of blocks
+are opened, and their sets compared. An opened pair returns links that span its components, so
 no group ever puts out all its pairs. Components follow from the links.
 
 Which tokens count as frequent only decides which pairs are opened, never the result.
@@ -31,11 +31,13 @@ from filelens.llm import text as tx
 from filelens.session import keep
 
 LOCAL_FREQUENT = 3  # occurrences among LOCAL_TOKENS tokens from which a token is reported
-LOCAL_TOKENS = 4_000_000
+LOCAL_TOKENS = 2_000_000
 FREQUENT = 200_000  # most frequent reported tokens that are ordered last: 1.6 MB
 SKETCH = 16
 SIMILAR = 0.4  # agreement of sketches within a group
-BLOCK = 256  # classes in a block, about
+BLOCK_TOKENS = 150_000  # in the sets of a block, about
+SHARED, SHARED_OF = 4, 32  # tokens that prefixes of linked sets share: so many, and one of so many more
+KEYS = 4  # smallest tokens of a set by which it looks for a group
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -48,6 +50,14 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def shared_tokens(size, percent: int):
+    """How many tokens two sets' prefixes share if they link and the smaller has this
+    size (a number or a column). Never falls with the size."""
+    if isinstance(size, int):
+        return min(SHARED + size // SHARED_OF, least_overlap(size, percent))
+    return F.least(SHARED + F.floor(size / SHARED_OF), F.ceil(percent * size / 100))
+
+
 # --- one pass for frequent tokens, one for sets -------------------------------------
 
 
@@ -78,8 +88,7 @@ def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> np.nda
 
 
 def sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per row: set size, a digest of the set, its smallest token, its smallest
-    tokens as a sketch, and its prefix in the order frequent last, then by hash."""
+    """Per row: set size, a digest of the set, its smallest tokens as keys and as a sketch, and its prefix in the order frequent last, then by hash."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,18 +100,20 @@ def sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> Dat
                 digest = tx.mix(own + np.uint64(n))
                 first.append(int(np.bitwise_xor.reduce(digest)) if n else 0)
                 second.append(int(np.add.reduce(tx.mix(digest), dtype=np.uint64)) if n else 0)
-                least.append(int(own[0]) if n else 0)
+                least.append(own[:KEYS].view(np.int64).tolist())
                 sketches.append(own[:SKETCH].tobytes())
                 if len(frequent) and n:
                     often = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
                     own = np.concatenate([own[~often], own[often]])
-                prefixes.append(own[: n - least_overlap(n, percent) + 1].tobytes())
+                need = least_overlap(n, percent)
+                prefixes.append(own[: n - need + shared_tokens(n, percent)].tobytes())
             out = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int64())]
-            out += [tx.signed(np.array(x, np.uint64)) for x in (first, second, least)]
+            out += [tx.signed(np.array(x, np.uint64)) for x in (first, second)]
+            out += [pa.array(least, pa.list_(pa.int64()))]
             out += [pa.array(x, pa.binary()) for x in (sketches, prefixes)]
             yield pa.record_batch(out, ["doc_id", "n", "d1", "d2", "least", "sketch", "prefix"])
 
-    shape = "doc_id long, n long, d1 long, d2 long, least long, sketch binary, prefix binary"
+    shape = "doc_id long, n long, d1 long, d2 long, least array<long>, sketch binary, prefix binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, shape)
 
 
@@ -117,41 +128,48 @@ def _agreement(a: bytes, b: bytes) -> float:
 
 
 def blocks(classes: DataFrame) -> DataFrame:
-    """(rep, n, block, prefix): similar classes together."""
-    leaders = classes.groupBy("least").agg(
-        F.min(F.struct("rep", "sketch")).alias("_leader"), F.count(F.lit(1)).alias("_many")
-    )
+    """(rep, n, block): similar classes (rep, n, least, sketch) together."""
+    keyed = classes.select("rep", F.explode("least").alias("key"))
     shared = keep(
-        leaders.where("_many > 1").select("least", F.col("_leader.rep").alias("leader"), F.col("_leader.sketch").alias("led"))
+        keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1")
     )
-    # Both sides are shuffled, so that a hot token is split between tasks.
-    joined = classes.join(shared, "least", "left").select("rep", "n", "sketch", "prefix", "leader", "led")
+    # Both sides are shuffled, so that a hot key is split between tasks.
+    offers = keep(keyed.join(shared, "key").where("rep <> leader").select("rep", "leader", "many"))
+    sketches = classes.select("rep", "sketch")
+    led = sketches.withColumnsRenamed({"rep": "leader", "sketch": "led"})
+    met = offers.join(sketches, "rep").join(led, "leader").select("rep", "leader", "many", "sketch", "led")
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, leaders = tx.column(batch, "rep"), tx.column(batch, "leader")
-            units = [
-                lead if lead is not None and _agreement(own, led) >= SIMILAR else rep
-                for rep, lead, own, led in zip(reps, leaders, tx.column(batch, "sketch"), tx.column(batch, "led"), strict=True)
-            ]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("rep", "n", "prefix")]
-            yield pa.record_batch([*columns, pa.array(units, pa.int64())], ["rep", "n", "prefix", "unit"])
-
-    placed = keep(joined.mapInArrow(choose, "rep long, n long, prefix binary, unit long"))
+            pairs = zip(tx.column(batch, "sketch"), tx.column(batch, "led"), strict=True)
+            good = pa.array([_agreement(own, led) >= SIMILAR for own, led in pairs], pa.bool_())
+            yield batch.select(["rep", "leader", "many"]).filter(good)
+
+    # The commonest key whose leader is similar; a leader follows its own offers too.
+    chosen = (
+        met.mapInArrow(agree, "rep long, leader long, many long")
+        .groupBy("rep").agg(F.max(F.struct("many", (-F.col("leader")).alias("to"))).alias("_best"))
+        .select("rep", (-F.col("_best.to")).alias("unit"))
+    )
+    placed = keep(
+        classes.select("rep", "n").join(chosen, "rep", "left").withColumn("unit", F.coalesce("unit", "rep"))
+    )
     # A block's number is that of its unit, or of a hash within a large unit.
     large = keep(
-        placed.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
-        .select("unit", F.ceil(F.col("_n") / BLOCK).alias("_parts"))
+        placed.groupBy("unit").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_many"))
+        .where((F.col("_n") > BLOCK_TOKENS) & (F.col("_many") > 1))
+        .select("unit", F.ceil(F.col("_n") / BLOCK_TOKENS).alias("_parts"))
     )
     part = F.pmod(F.xxhash64("rep"), F.col("_parts"))
     block = F.when(F.col("_parts").isNull(), F.struct("unit", F.lit(0).cast("long").alias("part"))).otherwise(
         F.struct("unit", part.alias("part"))
     )
-    return placed.join(large, "unit", "left").select("rep", "n", block.alias("block"), "prefix")
+    return placed.join(large, "unit", "left").select("rep", "n", block.alias("block"))
 
 
-def matrix(members: DataFrame) -> DataFrame:
-    """(token, block, smallest and largest size, members): the union of prefixes."""
+def matrix(members: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(token, block, smallest and largest size, members): the union of the members'
+    prefixes (rep, prefix), which are moved only here."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +182,7 @@ def matrix(members: DataFrame) -> DataFrame:
                     [tx.signed(tokens[at : at + 200_000]), *[c.slice(at, 200_000) for c in kept.values()]], ["token", *kept]
                 )
 
-    rows = members.select("block.unit", "block.part", "n", "prefix").mapInArrow(
+    rows = members.join(prefixes, "rep").select("block.unit", "block.part", "n", "prefix").mapInArrow(
         explode, "token long, unit long, part long, n long"
     )
     # Dealt by token once: the union of each block and the meeting of blocks follow
@@ -176,12 +194,18 @@ def matrix(members: DataFrame) -> DataFrame:
 
 
 def qualifying(union: DataFrame, percent: int) -> DataFrame:
-    """Pairs of blocks to open, each once."""
+    """Pairs of blocks to open, each once: those whose unions share as many tokens
+    as the prefixes of two members that link. (Sets of a and b tokens that have c in
+    common have k of their first a - c + k and b - c + k tokens in common.)"""
     a, b = union.alias("a"), union.alias("b")
     one, other = F.struct("a.unit", "a.part"), F.struct("b.unit", "b.part")
     fits = (100 * F.col("a.large") >= percent * F.col("b.small")) & (100 * F.col("b.large") >= percent * F.col("a.small"))
     meet = (F.col("a.token") == F.col("b.token")) & fits & ((one < other) | ((one == other) & (F.col("a.many") > 1)))
-    return a.join(b, meet).select(one.alias("one"), other.alias("other")).distinct()
+    sizes = F.least("a.small", "b.small").alias("size")
+    shared = a.join(b, meet).select(one.alias("one"), other.alias("other"), sizes).groupBy("one", "other").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("size").alias("size")
+    )
+    return shared.where(F.col("shared") >= shared_tokens(F.col("size"), percent)).select("one", "other")
 
 
 # --- opening ------------------------------------------------------------------------
@@ -227,12 +251,33 @@ def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, perce
     return links
 
 
+def openings(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(home, chunk, side, rep): whose sets are compared with whose. The larger block
+    of a pair is at home and meets the members of all smaller ones that it was paired
+    with, in chunks of bounded size; chunk -1 is a block by itself."""
+    sized = keep(members.groupBy("block").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+    of = lambda side: sized.select(*[F.col(c).alias(f"{side}_{c}" if c != "block" else side) for c in sized.columns])
+    both = pairs.where("one <> other").join(of("one"), "one").join(of("other"), "other")
+    first = F.struct("one_docs", "one") >= F.struct("other_docs", F.col("other").alias("one"))
+    met = keep(
+        both.select(
+            F.when(first, F.col("one")).otherwise(F.col("other")).alias("home"),
+            F.when(first, F.col("other")).otherwise(F.col("one")).alias("guest"),
+            F.when(first, F.col("other_tokens")).otherwise(F.col("one_tokens")).alias("tokens"),
+        )
+    )
+    chunks = keep(met.groupBy("home").agg(F.ceil(F.sum("tokens") / BLOCK_TOKENS).alias("chunks")))
+    chunk = F.pmod(F.xxhash64("guest"), "chunks").alias("chunk")
+    guests = met.join(chunks, "home").select("home", chunk, F.lit(1).alias("side"), F.col("guest").alias("block"))
+    alone = pairs.where("one = other").select(F.col("one").alias("home"), F.lit(-1).cast("long").alias("chunk"))
+    homes = guests.select("home", "chunk").distinct().unionByName(alone)
+    sides = guests.unionByName(homes.select("home", "chunk", F.lit(0).alias("side"), F.col("home").alias("block")))
+    return sides.join(members.select("rep", "block"), "block").select("home", "chunk", "side", "rep")
+
+
 def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between classes that span the components of opened pairs."""
-    sides = pairs.select("one", "other", F.lit(0).alias("side"), F.col("one").alias("block")).unionByName(
-        pairs.where("one <> other").select("one", "other", F.lit(1).alias("side"), F.col("other").alias("block"))
-    )
-    wanted = keep(sides.join(members.select("rep", "block"), "block").select("one", "other", "side", "rep"))
+    wanted = keep(openings(members, pairs))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep").distinct(), "rep", "left_semi")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,22 +296,21 @@ def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, per
 
         for batch in batches:
             out = []
-            at = [tx.column(batch, c) for c in ("one_unit", "one_part", "other_unit", "other_part", "side", "rep", "tokens")]
-            for u, p, v, q, side, rep, own in zip(*at, strict=True):
-                if (u, p, v, q) != key:
+            at = [tx.column(batch, c) for c in ("unit", "part", "chunk", "side", "rep", "tokens")]
+            for unit, part, chunk, side, rep, own in zip(*at, strict=True):
+                if (unit, part, chunk) != key:
                     if key is not None:
                         out += opened()
-                    key, held = (u, p, v, q), ([], [])
+                    key, held = (unit, part, chunk), ([], [])
                 held[side].append((rep, np.frombuffer(own, np.uint64)))
             yield _pairs(out)
         if key is not None:
             yield _pairs(opened())
 
     rows = wanted.join(keep(texts.mapInArrow(tokens, "rep long, tokens binary")), "rep").select(
-        F.col("one.unit").alias("one_unit"), F.col("one.part").alias("one_part"),
-        F.col("other.unit").alias("other_unit"), F.col("other.part").alias("other_part"), "side", "rep", "tokens",
+        F.col("home.unit").alias("unit"), F.col("home.part").alias("part"), "chunk", "side", "rep", "tokens"
     )
-    key = ["one_unit", "one_part", "other_unit", "other_part"]
+    key = ["unit", "part", "chunk"]
     return rows.repartition(*key).sortWithinPartitions(*key, "side", "rep").mapInArrow(compare, "a long, b long")
 
 
@@ -309,9 +353,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     filled = described.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "d1", "d2"]
     classes = keep(filled.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    alone = filled.join(classes.select("rep"), filled["doc_id"] == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    members = keep(blocks(keep(alone.select(F.col("doc_id").alias("rep"), "n", "least", "sketch", "prefix"))))
-    pairs = keep(qualifying(matrix(members), percent))
+    own = F.col("doc_id").alias("rep")
+    alone = filled.select(own, "n", "least", "sketch").join(classes.select("rep"), "rep", "left_semi")
+    members = keep(blocks(keep(alone.dropDuplicates(["rep"]))))
+    pairs = keep(qualifying(matrix(members, filled.select(own, "prefix")), percent))
     linked = components(links(docs, members, pairs, width, percent)).withColumnRenamed("node", "rep")
     of_class = keep(classes.join(linked, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id")))
     rows = described.select("doc_id", *same).join(of_class, same, "left")

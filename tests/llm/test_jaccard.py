@@ -51,9 +51,9 @@ def corpus(seed: int):
     return rows
 
 
-@pytest.mark.parametrize("seed,width,percent,block", [(1, 3, 90, 256), (2, 5, 80, 256), (3, 3, 90, 4), (4, 2, 60, 3)])
+@pytest.mark.parametrize("seed,width,percent,block", [(1, 3, 90, 150_000), (2, 5, 80, 150_000), (3, 3, 90, 200), (4, 2, 60, 100)])
 def test_equals_all_pairs(spark, monkeypatch, seed, width, percent, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, width, percent).collect()}
