@@ -34,7 +34,8 @@ CAPACITY = 2048
 GROUPS = 24  # sizes that long pieces are rounded to
 LONG = 8  # pieces above capacity / LONG are long
 COLUMNS = 400  # configurations that are generated at most; a later one would be better by little
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+_MARKS = tuple(".,;:?!")
 END = b"\0\0\0\0"
 
 _tokenizers: dict = {}
@@ -59,6 +60,14 @@ def _tokenizer(path: str | None):
     return _tokenizers[path]
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """A word as it is encoded: lower case, and a mark after its last letter apart
+    (letters and marks never share a token). Special tokens stay as they are."""
+    if word.isascii() and "<" not in word:
+        word = word.lower()
+    return (word[:-1], word[-1]) if word[-1:] in _MARKS and word[-2:-1].isalpha() else (word, "")
+
+
 def token_ids(texts: list[str], path: str | None = None) -> list[bytes]:
     """Little-endian 32-bit ids of texts. The tokenizer drops white space and no token
     spans it, so texts are encoded word by word and frequent words only once."""
@@ -66,31 +75,19 @@ def token_ids(texts: list[str], path: str | None = None) -> list[bytes]:
     cut = [t.replace("\n", " ").split(" ") for t in texts]
     if len(_words) > CACHED_WORDS:
         _words.clear()
-    new = list({w for words in cut for w in words if w not in _words})
-    got = {
-        w: np.array(e.ids, "<u4").tobytes()
-        for at in range(0, len(new), 10_000)
-        for w, e in zip(
-            new[at : at + 10_000], tokenizer.encode_batch_fast(new[at : at + 10_000], add_special_tokens=False), strict=True
-        )
-    }
-    known = _words | got if len(got) * 8 > len(_words) else None
-    look = (known if known is not None else _Both(got)).__getitem__
-    out = [b"".join(map(look, words)) for words in cut]
-    _words.update((w, ids) for w, ids in got.items() if len(w) <= CACHED_LENGTH)
+    new = {w: _stem(w) for words in cut for w in words if w not in _words}
+    apart = list({part for parts in new.values() for part in parts if part not in _words})
+    for at in range(0, len(apart), 10_000):
+        some = apart[at : at + 10_000]
+        made = tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        _words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, made, strict=True))
+    _words.update((w, _words[stem] + _words[mark]) for w, (stem, mark) in new.items())
+    out = [b"".join(map(_words.__getitem__, words)) for words in cut]
+    for word in [w for w in (*new, *apart) if len(w) > CACHED_LENGTH]:
+        _words.pop(word, None)
     return out
 
 
-class _Both:
-    """New words, then the cached ones."""
-
-    def __init__(self, new: dict[str, bytes]):
-        self.new = new
-
-    def __getitem__(self, word: str) -> bytes:
-        return self.new[word] if word in self.new else _words[word]
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and an
     end token, cut only where longer than ``capacity``."""
@@ -118,6 +115,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                     arrays, names = [*arrays, pa.array(columns[5], pa.binary())], [*names, "ids"]
                 yield pa.record_batch(arrays, names)
                 at = end
+        _words.clear()  # the worker goes on to other tasks
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, shape)
@@ -215,16 +213,21 @@ def _substituted(groups: list[list[list[int]]], chosen: list[tuple[np.ndarray, i
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (sequences, lengths of their pieces) that hold exactly ``counts``."""
+    """Runs (sequences, lengths of their pieces) that hold exactly ``counts``: with the
+    long ones in groups, or, where rounding costs more than it saves, all by best fit."""
+    return min((_planned(counts, capacity, groups) for groups in (GROUPS, 0)), key=lambda runs: sum(t for t, _ in runs))
+
+
+def _planned(counts: dict[int, int], capacity: int, number: int) -> list[tuple[int, tuple[int, ...]]]:
     left = dict(counts)
     done: list[tuple[int, tuple[int, ...]]] = []
     if full := left.pop(capacity, 0):
         done.append((full, (capacity,)))
-    long = {s: n for s, n in left.items() if s * LONG > capacity}
+    long = {s: n for s, n in left.items() if number and s * LONG > capacity}
     left = {s: n for s, n in left.items() if s not in long}
     runs: list[tuple[int, tuple[int, ...]]] = []
     if long:
-        groups = groups_of_equal_size(long, GROUPS)
+        groups = groups_of_equal_size(long, number)
         sizes, wanted = [g[0][0] for g in groups], [sum(n for _, n in g) for g in groups]
         merged: dict[int, int] = {}
         for size, n in zip(sizes, wanted, strict=True):
