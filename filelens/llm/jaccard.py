@@ -81,6 +81,8 @@ def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> np.nda
                     held = []
         if held:
             yield report()
+        held = []
+        tx.release()
 
     local = docs.select("text").mapInArrow(count, "token long, seen long")
     top = local.groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(most)
@@ -112,6 +114,7 @@ def sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> Dat
             out += [pa.array(least, pa.list_(pa.int64()))]
             out += [pa.array(x, pa.binary()) for x in (sketches, prefixes)]
             yield pa.record_batch(out, ["doc_id", "n", "d1", "d2", "least", "sketch", "prefix"])
+        tx.release()
 
     shape = "doc_id long, n long, d1 long, d2 long, least array<long>, sketch binary, prefix binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, shape)
@@ -306,6 +309,8 @@ def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, per
             yield _pairs(out)
         if key is not None:
             yield _pairs(opened())
+        held = ([], [])
+        tx.release()
 
     rows = wanted.join(keep(texts.mapInArrow(tokens, "rep long, tokens binary")), "rep").select(
         F.col("home.unit").alias("unit"), F.col("home.part").alias("part"), "chunk", "side", "rep", "tokens"

@@ -116,6 +116,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                 yield pa.record_batch(arrays, names)
                 at = end
         _words.clear()  # the worker goes on to other tasks
+        tx.release()
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, shape)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
 # A text is looked at in blocks of about so many bytes, cut where a word ends.
 BLOCK = 1 << 20
 
@@ -98,6 +101,13 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give back what a finished task no longer needs; its worker process stays."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 

@@ -35,7 +35,7 @@ LEAST_SUPPORT = 5  # distinct toxic documents from which a feature is looked at,
 LEAST_SHARE = 0.01  # and their share of all toxic ones
 FEATURES = 20_000  # features that are weighed at most, the commonest in toxic text
 LIKELY = 2.0  # weight from which a word counts as a toxic one
-MEMO = 500_000
+MEMO = 150_000
 
 # Letters that signs are used for.
 LOOKALIKES = {
@@ -239,6 +239,11 @@ class Scorer:
             self.memo[word] = max(self.model.weights.get(hashed(f), 0.0) for f in features(word))
         return self.memo[word]
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.reader.memo.clear()
+        tx.release()
+
     def measures(self, text: str | None) -> tuple[float, float, float]:
         return measures(self.reader.words(text), self.weigh)
 
@@ -282,6 +287,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             seen = np.array([scorer.measures(t) for t in tx.column(batch, "text")], float).reshape(-1, 3)
             points = sigmoid(seen @ model.curve[:3] + model.curve[3])
             yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), pa.array(points)], ["doc_id", "score"])
+        scorer.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -297,5 +303,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Data
             seen = np.array([scorer.measures(t) for t in tx.column(batch, "text")], float).reshape(-1, 3)
             points = sigmoid(seen @ model.curve[:3] + model.curve[3])
             yield batch.filter(pa.array(points < 0.5))
+        scorer.forget()
 
     return docs.mapInArrow(clean, docs.schema).select(*columns)
