@@ -3,8 +3,8 @@
 A character model (trigrams of letters, counted over all documents) says which letter
 strings are likely. Parts of a text that may be disguised (digits or signs among
 letters, letters set apart, letters repeated) become lattices: every sign may stand
-for itself, for the letters it resembles, or for nothing. The best path is the
-restored word. Words of the restored text carry weights learned from labelled
+for itself (the end of a word), for the letters it resembles, or for nothing. The best
+path, over the whole part however long, gives the restored words. Words of the restored text carry weights learned from labelled
 documents: a word, or a beginning of a word, weighs as much as it is commoner among
 toxic ones. Documents count once per smallest word hash, so that near copies of one
 text do not speak for each other's words. A logistic curve over the weights of a
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ LEAST_SHARE = 0.01  # and their share of all toxic ones
 FEATURES = 20_000  # features that are weighed at most, the commonest in toxic text
 LIKELY = 2.0  # weight from which a word counts as a toxic one
 MEMO = 150_000
+LONGEST_KEPT = 60  # characters of a token that is remembered
 
 # Letters that signs are used for.
 LOOKALIKES = {
@@ -95,6 +97,11 @@ def _symbols(text: str) -> np.ndarray:
     return codes
 
 
+@cache
+def _symbol(letter: str) -> int:
+    return int(_symbols(letter)[0])
+
+
 # --- the character model -----------------------------------------------------------
 
 
@@ -126,56 +133,70 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 10 * pairs[None]) / (counts.sum(2, keepdims=True) + 10)).astype(np.float32)
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a disguised token (Viterbi over the lattice; a
-    state is the last two symbols)."""
+def restore(token: str, model: list[float], slack: float) -> list[str]:
+    """The likeliest words behind a disguised token of any length (Viterbi over the
+    lattice; a state is the last two symbols, with a chain of what led to it). ``model``
+    is flat. Two symbols on, states go on alike: one that lies behind the best by more
+    than ``slack``, twice the range of the model, cannot win and is dropped."""
     token = token.lower()
     apart = len(token) > 2 and all(c in APART for c in token[1::2])
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     before, run = "", 0
-    for at, sign in enumerate(token):
-        ways: list[tuple[str, float]] = []
+    for sign in token:
+        # What is made, its symbol (a space is the symbol of all that are no letters), cost.
+        ways: list[tuple[str, int, float]] = []
         if sign.isalpha():
-            ways.append((sign, -0.05))
+            ways.append((sign, _symbol(sign), -0.05))
             run = run + 1 if sign == before else 1
             if run > 1:
-                ways.append(("", -1.5 if run == 2 else -0.2))
-        elif apart and sign in APART:
-            ways.append(("", -0.05))
+                ways.append(("", 0, -1.5 if run == 2 else -0.2))
+        elif sign in LOOKALIKES:
+            ways += [(letter, _symbol(letter), -0.7 - 0.5 * i) for i, letter in enumerate(LOOKALIKES[sign])]
+            ways += [(" ", 0, -3.0), ("", 0, -8.0)]
         else:
-            ways += [(letter, -0.7 - 0.5 * i) for i, letter in enumerate(LOOKALIKES.get(sign, ""))]
-            ways.append(("", -8.0))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, made) in states.items():
-            for letter, cost in ways:
+            ways += [(" ", 0, -0.05), ("", 0, -0.05 if apart else -1.5)]
+        after: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, made) in states.items():
+            for letter, symbol, cost in ways:
                 if letter:
-                    c = int(_symbols(letter)[0])
-                    state, value = (b, c), (score + cost + float(model[a, b, c]), made + letter)
+                    to, value = (state % SYMBOLS) * SYMBOLS + symbol, score + cost + model[state * SYMBOLS + symbol]
                 else:
-                    state, value = (a, b), (score + cost, made)
-                if state not in after or value > after[state]:
-                    after[state] = value
+                    to, value = state, score + cost
+                if to not in after or value > after[to][0]:
+                    after[to] = (value, (made, letter) if letter else made)
+        if len(after) > 16:
+            least = max(score for score, _ in after.values()) - slack
+            after = {state: way for state, way in after.items() if way[0] >= least}
         states, before = after, sign
-    return max((score + float(model[a, b, 0]), made) for (a, b), (score, made) in states.items())[1]
+    _, made = max(((score + model[state * SYMBOLS], made) for state, (score, made) in states.items()), key=lambda way: way[0])
+    letters = []
+    while made:
+        made, letter = made
+        letters.append(letter)
+    return "".join(reversed(letters)).split()
 
 
 class Reader:
     """Distinct words of texts, with restored ones; remembers what it restored."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.memo = model, {}
+        self.model, self.memo = model.ravel().tolist(), {}
+        self.slack = 2 * float(model.max() - model.min())
 
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
         found = set(WORD.findall(text))
         for token in disguised(text):
-            if len(token) > 60:
-                token = re.sub(r"(.)\1{2,}", r"\1\1", token)[:200]
-            if token not in self.memo:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                self.memo[token] = restore(token, self.model)
-            found.add(self.memo[token])
+            made = self.memo.get(token)
+            if made is None:
+                made = restore(token, self.model, self.slack)
+                # Written apart, one word may have been taken for several.
+                made = {*made, "".join(made)}
+                if len(token) <= LONGEST_KEPT:
+                    if len(self.memo) > MEMO:
+                        self.memo.clear()
+                    self.memo[token] = made
+            found |= made
         found.discard("")
         return found
 

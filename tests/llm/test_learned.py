@@ -74,6 +74,22 @@ def test_restoring():
     assert reader.words("plain little words") == {"plain", "little", "words"} and reader.words(None) == set()
 
 
+def spoken(*words):
+    """A reader whose character model has seen these words."""
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    s = toxicity._symbols(" " + " ".join(words) + " ")
+    np.add.at(counts, s[:-2] * 4096 + s[1:-1] * 64 + s[2:], 50)
+    return toxicity.Reader(toxicity.log_model(counts.reshape((toxicity.SYMBOLS,) * 3)))
+
+
+def test_runs_of_set_apart_letters_are_read_to_their_end_as_words():
+    reader = spoken("you", "are", "an", "old", "villain", "you", "old")
+    assert {"you", "are", "an", "old", "villain"} <= reader.words(" ".join("youareanoldvillain"))
+    assert "villain" in reader.words(" ".join("youareold" * 60 + "villain"))
+    assert "villain" in reader.words("yooou" * 60 + "v1llain" * 2 + " v.i.l.l.a.i.n")
+    assert {"old", "villain"} <= set(toxicity.restore("old/" * 5_000 + "v1llain", reader.model, reader.slack))
+
+
 def test_quality_on_held_out_rows(corpus):
     docs, labels, rows = corpus
     got = quality.score(docs, quality.fit(docs, labels)).where("held_out").collect()
