@@ -44,32 +44,29 @@ LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "*": "aeiou",
 }
-APART = " .-_"
-
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LOOKALIKES))
-SET_APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_][^\W\d_]){3,}(?![^\W_])")
-SIGNED = re.compile(rf"[{_SIGNS}][^\W\d_]")
-SIGNED_WORD = re.compile(rf"[^\W\d_](?:[{_SIGNS}]+[^\W\d_])|[{_SIGNS}][^\W\d_]{{2}}")
+_LETTER, APART = r"[^\W\d_]", r"[\s.\-_/]"
+SET_APART = re.compile(rf"(?<![^\W_])(?:{_LETTER}|[{_SIGNS}])(?:{APART}++(?:{_LETTER}|[{_SIGNS}]))+(?![^\W_])")
+GAP, TOGETHER = re.compile(APART), re.compile(r"[^\s.\-_/]{2}")
+SIGNED = re.compile(rf"[{_SIGNS}]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
-LONGEST_SIGNED = 24
-_GAP = re.compile(r"\s|$")
+LETTER = re.compile(_LETTER)
+# Figures with at most one sign on each side, and signs of which none is used in words.
+FIGURES = re.compile(r"[+\-(<$€|*@!#~]?\d*(?:[.,:/+\-*|]\d+)*[)%€$!+|*]?|[^@$€\d]+")
 
 
 def disguised(text: str) -> list[str]:
-    """Parts of a lower-case text that may be other words: letters set apart, words
-    with signs or digits among their letters, and words that repeat a letter."""
-    found = [m[0] for m in SET_APART.finditer(text)]
-    end = 0
-    for match in SIGNED.finditer(text):
-        if match.start() < end:
-            continue
-        start = max(text.rfind(c, 0, match.start()) for c in " \n\t") + 1
-        end = _GAP.search(text, match.end()).start()
-        word = text[start:end].strip("!.,;:?\"'()[]")
-        letters = sum(map(str.isalpha, word[: LONGEST_SIGNED + 1]))
-        if 3 <= len(word) <= LONGEST_SIGNED and 2 * letters >= len(word) and SIGNED_WORD.search(word):
-            found.append(word)
+    """Parts of a lower-case text that may be other words: letters and look-alikes set
+    apart, whatever else has a look-alike, and words that repeat a letter. Only what has
+    no letter and is written as figures or punctuation are is left out."""
+    found = [m[0] for m in SET_APART.finditer(text) if LETTER.search(m[0]) or "@" in m[0] or "$" in m[0]]
+    if SIGNED.search(text):
+        for word in text.split():
+            if SIGNED.search(word):
+                word = word.lstrip(".,;:?\"')[]").rstrip("!.,;:?\"'()[]")
+                if len(word) > 1 and SIGNED.search(word) and (LETTER.search(word) or not FIGURES.fullmatch(word)):
+                    found.append(word)
     end = 0
     for match in REPEATED.finditer(text):
         if match.start() < end:
@@ -133,13 +130,13 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 10 * pairs[None]) / (counts.sum(2, keepdims=True) + 10)).astype(np.float32)
 
 
-def restore(token: str, model: list[float], slack: float) -> list[str]:
+def restore(token: str, model: list[float], slack: float, itself: bool = True) -> list[str]:
     """The likeliest words behind a disguised token of any length (Viterbi over the
     lattice; a state is the last two symbols, with a chain of what led to it). ``model``
     is flat. Two symbols on, states go on alike: one that lies behind the best by more
-    than ``slack``, twice the range of the model, cannot win and is dropped."""
+    than ``slack``, twice the range of the model, cannot win and is dropped. Not ``itself``: look-alikes are letters or nothing."""
     token = token.lower()
-    apart = len(token) > 2 and all(c in APART for c in token[1::2])
+    apart = not TOGETHER.search(token)
     states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     before, run = "", 0
     for sign in token:
@@ -152,7 +149,9 @@ def restore(token: str, model: list[float], slack: float) -> list[str]:
                 ways.append(("", 0, -1.5 if run == 2 else -0.2))
         elif sign in LOOKALIKES:
             ways += [(letter, _symbol(letter), -0.7 - 0.5 * i) for i, letter in enumerate(LOOKALIKES[sign])]
-            ways += [(" ", 0, -3.0), ("", 0, -8.0)]
+            ways += [(" ", 0, -3.0), ("", 0, -8.0)] if itself else [("", 0, -8.0)]
+        elif GAP.match(sign) and GAP.match(before):
+            continue  # several are one gap
         else:
             ways += [(" ", 0, -0.05), ("", 0, -0.05 if apart else -1.5)]
         after: dict[int, tuple[float, tuple | None]] = {}
@@ -192,6 +191,9 @@ class Reader:
                 made = restore(token, self.model, self.slack)
                 # Written apart, one word may have been taken for several.
                 made = {*made, "".join(made)}
+                # Many signs together pass for themselves too easily.
+                if SIGNED.search(token):
+                    made.update(restore(token, self.model, self.slack, False))
                 if len(token) <= LONGEST_KEPT:
                     if len(self.memo) > MEMO:
                         self.memo.clear()

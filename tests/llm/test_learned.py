@@ -90,6 +90,20 @@ def test_runs_of_set_apart_letters_are_read_to_their_end_as_words():
     assert {"old", "villain"} <= set(toxicity.restore("old/" * 5_000 + "v1llain", reader.model, reader.slack))
 
 
+def test_disguises_of_every_length_share_of_signs_and_gap_are_read():
+    reader = spoken("shit", "idiot", "ass", "asshole", "so", "is", "it", "old", "villain", "to", "see")
+    for sly, word in [
+        ("5h17", "shit"), ("4$$h0l3", "asshole"), ("$ h 1 t", "shit"), ("i d 1 o t", "idiot"), ("a s s", "ass"), ("@$$", "ass"),
+        ("i  d  i  o  t", "idiot"), ("i/d/i/o/t", "idiot"), ("!diot", "idiot"), ("old.villain/to.old/v1ll4in.to.see", "villain"),
+        ("is.it.old/so.1d10t/to.see.it", "idiot"),
+    ]:
+        assert word in reader.words(f"so, {sly} so") - reader.words(f"so {sly[:0]} so"), sly
+        assert any(word in made for made in reader.memo.values()), sly
+        reader.memo.clear()
+    assert reader.words("2024 $455.00 12:30 (5) *** 3+4 so") == {"so"}
+    assert toxicity.disguised("x" * 100_000 + " . " * 100_000) == ["x" * 100_000]
+
+
 def test_quality_on_held_out_rows(corpus):
     docs, labels, rows = corpus
     got = quality.score(docs, quality.fit(docs, labels)).where("held_out").collect()
