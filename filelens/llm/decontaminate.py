@@ -4,8 +4,12 @@ Texts become template tokens: numbers, names and units are replaced by typed
 placeholders and keep their values aside. Windows of template tokens are hashed and
 joined with those of the benchmark items. Windows that line up (same distance between
 the places in document and item) must replace the item's values consistently: one
-value of the item by one value of the document. Items of which enough windows match in
-this way are found in the document, word for word or with other numbers and names.
+value of the item by one value of the document. Windows of template tokens need some
+words; beside them stand windows of plain words in lower case, without placeholders and
+without any condition, so that copies word for word are found whatever they consist of
+and however names in them are told. Items of which enough windows of one of both kinds
+match, or that share a long passage (``LONG_RUN`` windows at one distance), are found in
+the document, word for word or with other numbers and names.
 
 A filter of fixed size built from the benchmark's windows keeps document windows that
 cannot match from being shuffled; it drops none that can.
@@ -30,6 +34,7 @@ from filelens.session import keep
 WIDTH = 8  # template tokens of a window
 LEAST_WORDS = 4  # that are no placeholders
 COVERED = 0.3  # share of an item's windows from which it is found
+LONG_RUN = 24  # windows of an item that line up, from which it is found whatever its length
 FILTER_BITS = 23
 
 # Words that stand for numbers, and units after a number.
@@ -69,6 +74,11 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Template tokens and values: a word's token is its hash and its value 0; a
     placeholder's token is its kind and its value the hash of what stood there."""
+    return _read(text)[:2]
+
+
+def _read(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens, values, and the hashes of all words in lower case."""
     text = text or ""
     words, digit, capital, opens = [], [], [], []
     fresh = True
@@ -105,13 +115,7 @@ def template(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     heads = np.flatnonzero(~goes_on)
     values = np.add.reduceat(tx.mix(words + (np.arange(len(words)) - np.repeat(heads, np.diff([*heads, len(words)]))).astype(np.uint64)), heads) if len(heads) else words
     tokens = np.where(slot, kind, words)[heads]
-    return tokens, np.where(slot[heads], values | np.uint64(1), np.uint64(0))
-
-
-def windows(text: str | None, widths: tuple[int, ...]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(width, hashes, values) for each width that fits the text."""
-    tokens, values = template(text)
-    return [(w, tx.window_hashes(tokens, w), values) for w in widths if len(tokens) >= w]
+    return tokens, np.where(slot[heads], values | np.uint64(1), np.uint64(0)), words
 
 
 def _telling(values: np.ndarray, width: int) -> np.ndarray:
@@ -120,22 +124,28 @@ def _telling(values: np.ndarray, width: int) -> np.ndarray:
     return (words[width:] - words[:-width]) >= min(LEAST_WORDS, (width + 1) // 2)
 
 
-def _rows(owner, text, widths, filtered=None):
-    for width, hashes, values in windows(text, widths):
-        good = _telling(values, width)
+def _rows(owner, read, widths, filtered=None):
+    """Rows of all windows, ``widths`` being pairs of plain or not and a width."""
+    tokens, values, words = read
+    for plain, width in widths:
+        if len(words if plain else tokens) < width:
+            continue
+        hashes = tx.window_hashes(words if plain else tokens, width)
+        good = np.ones(len(hashes), bool) if plain else _telling(values, width)
         if filtered is not None:
             good &= filtered[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
         for at in np.flatnonzero(good).tolist():
-            yield (int(hashes[at].view(np.int64)), width, owner, at, values[at : at + width].view(np.int64).tolist())
+            filled = [] if plain else values[at : at + width].view(np.int64).tolist()
+            yield (int(hashes[at].view(np.int64)), plain, width, owner, at, filled)
 
 
-_SHAPE = "window long, width int, {0} long, at long, values array<long>"
+_SHAPE = "window long, plain boolean, width int, {0} long, at long, values array<long>"
 
 
 def _emitted(rows: list[tuple], owner: str) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["window", "width", owner, "at", "values"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["window", "plain", "width", owner, "at", "values"])
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -143,8 +153,9 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             out = []
             for item, text in zip(tx.column(batch, "item_id"), tx.column(batch, "text"), strict=True):
-                long = len(template(text)[0])
-                out += _rows(item, text, (min(width, long),) if long else ())
+                tokens, values, words = _read(text)
+                if len(words):
+                    out += _rows(item, (tokens, values, words), [(False, min(width, len(tokens))), (True, min(width, len(words)))])
             yield _emitted(out, "item_id")
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, _SHAPE.format("item_id"))
@@ -153,7 +164,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, verbatim): items found in documents."""
     items = keep(item_windows(benchmark, width))
-    widths = tuple(sorted(r[0] for r in items.select("width").distinct().collect()))  # at most ``width`` of them
+    widths = sorted(tuple(r) for r in items.select("plain", "width").distinct().collect())  # at most twice ``width`` of them
     # One row for each place of the filter that is set, 2**FILTER_BITS at most.
     places = items.select(F.shiftrightunsigned("window", 64 - FILTER_BITS).alias("p")).distinct().toPandas().p.to_numpy(np.int64)
     filtered = np.zeros(1 << FILTER_BITS, bool)
@@ -165,7 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covere
         for batch in batches:
             out = []
             for doc, text in zip(tx.column(batch, "doc_id"), tx.column(batch, "text"), strict=True):
-                out += _rows(doc, text, widths, passes)
+                out += _rows(doc, _read(text), widths, passes)
                 if len(out) > 20_000:
                     yield _emitted(out, "doc_id")
                     out = []
@@ -173,10 +184,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covere
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _SHAPE.format("doc_id"))
     theirs = items.withColumnsRenamed({"at": "item_at", "values": "item_values"})
-    met = found.join(theirs, ["window", "width"])
+    met = found.join(theirs, ["window", "plain", "width"])
     pair = lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))
     lined = (
-        met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("distance"))
+        met.groupBy("doc_id", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("distance"))
         .agg(
             F.collect_set("item_at").alias("places"),
             F.collect_set(F.filter(F.zip_with("item_values", "values", pair), lambda p: p["theirs"] != 0)).alias("_pairs"),
@@ -185,15 +196,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covere
     )
     consistent = F.size("_pairs") == F.size(F.array_distinct(F.col("_pairs.theirs")))
     same = F.forall("_pairs", lambda p: p["theirs"] == p["ours"])
-    counted = items.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
+    counted = items.groupBy("item_id", "plain").agg(F.count_distinct("at").alias("n_windows"))
+    share = F.col("n_matched") / F.col("n_windows")
+    best = F.max(F.struct(share.alias("share"), (~F.col("plain")).alias("slots"), "n_windows", "n_matched", "verbatim"))
     return (
         lined.where(consistent)
         .withColumn("_same", same)
+        .groupBy("doc_id", "item_id", "plain")
+        .agg(
+            F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"),
+            F.bool_and("_same").alias("verbatim"),
+            F.max(F.size("places")).alias("_longest"),
+        )
+        .join(counted, ["item_id", "plain"])
+        .where((F.col("n_matched") >= covered * F.col("n_windows")) | (F.col("_longest") >= LONG_RUN))
+        # Of the two kinds of windows the one that covers more of the item speaks.
         .groupBy("doc_id", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"), F.bool_and("_same").alias("verbatim"))
-        .join(counted, "item_id")
-        .where(F.col("n_matched") >= covered * F.col("n_windows"))
-        .select("doc_id", "item_id", "n_windows", "n_matched", "verbatim")
+        .agg(best.alias("_best"))
+        .select("doc_id", "item_id", "_best.n_windows", "_best.n_matched", "_best.verbatim")
     )
 
 

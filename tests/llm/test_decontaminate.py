@@ -29,6 +29,20 @@ def test_short_items_and_odd_items(spark):
     assert set(found) == {(0, 1)}
 
 
+def test_items_of_numbers_and_names_are_found_word_for_word(spark):
+    items = [(1, "12 + 35 * 4 = 188"), (2, "7 8 9"), (3, "Ann Lee, Bob Ray, Carl Fox, Dora May, Eve Orr 17, 18, 19, 20")]
+    texts = [f"So it is: {items[0][1]}, they said.", "of 7 8 9 or 10", f"Seen: {items[2][1]} and more", "of 7 8 or 12 35 4 189"]
+    found = leaks(spark, texts, items)
+    assert set(found) == {(0, 1), (1, 2), (2, 3)} and all(r.verbatim and r.n_matched == r.n_windows for r in found.values())
+
+
+def test_long_passages_of_longer_items_are_found(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    found = leaks(spark, [" ".join(words[150:250]), " ".join(words[150:170])], [(1, " ".join(words))])
+    assert set(found) == {(0, 1)} and found[0, 1].n_matched == 93 and found[0, 1].n_windows == 393
+
+
 def test_templates():
     tokens, values = dc.template("It weighs 3.5 kg. Big Ben is in London, say two men")
     kinds = ["n" if t == dc._NUMBER else "u" if t == dc._UNIT else "N" if t == dc._NAME else "w" for t in tokens]
