@@ -43,6 +43,15 @@ def test_long_passages_of_longer_items_are_found(spark):
     assert set(found) == {(0, 1)} and found[0, 1].n_matched == 93 and found[0, 1].n_windows == 393
 
 
+def test_copies_word_for_word_do_not_depend_on_what_is_a_name(spark):
+    sentences = "Every morning we walk along the river for a while. Under trees we rest and look at birds. Later we go home and eat some soup."
+    heading = "In The Every Under Later End"
+    items = [(1, ITEM), (2, "What is the capital of France?"), (3, sentences)]
+    found = leaks(spark, [ITEM.upper(), ITEM.lower(), "(a) What is the capital of France?", f"so {heading} of it. {sentences}", "what is a capital of france"], items)
+    assert set(found) == {(0, 1), (1, 1), (2, 2), (3, 3)}
+    assert all(r.verbatim and r.n_matched == r.n_windows for r in found.values())
+
+
 def test_templates():
     tokens, values = dc.template("It weighs 3.5 kg. Big Ben is in London, say two men")
     kinds = ["n" if t == dc._NUMBER else "u" if t == dc._UNIT else "N" if t == dc._NAME else "w" for t in tokens]
