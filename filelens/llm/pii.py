@@ -4,7 +4,9 @@ Card, account, social security, telephone and network numbers, dates and address
 mail are found, validated (check digits, ranges, calendar) and permuted within their
 own format by a keyed Feistel network: what is valid stays valid, and equal values
 have equal pseudonyms in all documents, so they stay linked without being readable.
-Numbers that only look alike (a wrong check digit, day 32) are left alone.
+Numbers that only look alike (a wrong check digit, day 32) are left alone. Card and
+account numbers are found beside other groups (expiry date, security code, next word);
+only where a pseudonym would make such a neighbourhood valid it is another one.
 
 Rows: null texts stay null, empty ones empty; repeated rows get a row each; a null id
 is kept; other columns are kept by ``pseudonymise``.
@@ -35,18 +37,32 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 KINDS = ("mail", "iban", "card", "phone", "ssn", "date", "ip")
 PATTERN = re.compile(
     r"(?P<mail>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?<![\w.])(?:"
     r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
     r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[.-]\d{4})(?!\w)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
     r"|(?P<phone2>\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?!\w)"
     r")|(?P<phone3>(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[.-]\d{4}(?!\w))"
     r"|(?P<phone4>(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
 )
 MAYBE = re.compile(r"[\d@]")
+# Numbers in groups, with whatever groups stand beside them; which part it is is found by
+# trying spans of groups. Card numbers may follow a dot that is no decimal point.
+RUNS = {
+    "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9])+\b"),
+    "card": re.compile(r"(?<!\w)(?<!\d\.)\d(?:[ -]?\d){12,}(?![\w-])"),
+}
+GROUP = re.compile(r"[A-Za-z0-9]+")
+LONGEST = 68  # characters of a number and the signs between its groups
+IBAN_START = re.compile(r"[A-Z]{2}\d{2}")
+IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
+CARD_LENGTHS = (16, 15, 14, 13, 19, 18, 17)  # in the order of trying
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
+    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21,
+    "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
 
 
 class Feistel:
@@ -101,10 +117,15 @@ def _luhn_sum(digits: str) -> int:
     return total
 
 
-def card(text: str, network: Feistel, back: bool = False) -> str | None:
+def is_card(text: str) -> bool:
     digits = _digits(text)
-    if not luhn(digits) or len(set(digits)) == 1:
+    return luhn(digits) and len(set(digits)) > 1
+
+
+def card(text: str, network: Feistel, back: bool = False) -> str | None:
+    if not is_card(text):
         return None
+    digits = _digits(text)
     # The first digit (the network) stays, the last one follows from the others.
     body = digits[1:-1]
     new = digits[0] + str(network.permute(int(body), 10 ** len(body), "card" + digits[0], back=back)).zfill(len(body))
@@ -115,9 +136,14 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def is_iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return IBAN.fullmatch(plain) is not None and _iban_rest(plain[4:] + plain[:4]) == 1
+
+
 def iban(text: str, network: Feistel, back: bool = False) -> str | None:
     plain = text.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_rest(plain[4:] + plain[:4]) != 1:
+    if not is_iban(text):
         return None
     body = _by_class(plain[4:], network, "iban" + plain[:2], back)
     check = f"{98 - _iban_rest(body + plain[:2] + '00'):02d}"
@@ -220,17 +246,78 @@ class Pseudonyms:
         if not text or not MAYBE.search(text):
             return text, counts
 
-        def change(match: re.Match) -> str:
+        taken: list[tuple[int, int, str, str]] = []
+        for kind in (None, *RUNS):
+            gaps = zip([0, *(t[1] for t in taken)], [*(t[0] for t in taken), len(text)], strict=True)
+            taken += [t for start, end in list(gaps) for t in (self._single(text, start, end) if kind is None else self._grouped(kind, text, start, end))]
+            taken.sort()
+        out, end = [], 0
+        for start, stop, kind, new in taken:
+            counts[kind] += 1
+            out += [text[end:start], new]
+            end = stop
+        return "".join([*out, text[end:]]), counts
+
+    def _single(self, text: str, at: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+        """(start, end, kind, pseudonym) of numbers of fixed form; behind the first
+        character of a rejected one the search goes on."""
+        while match := PATTERN.search(text, at, end):
             kind = match.lastgroup.rstrip("234")
-            if (kind, match[0]) not in self.memo:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                self.memo[kind, match[0]] = _CHANGE[kind](match[0], self.network, self.back)
-            new = self.memo[kind, match[0]]
-            counts[kind] += new is not None
-            return match[0] if new is None else new
-
-        return PATTERN.sub(change, text), counts
+            new, at = self._pseudonym(kind, match[0]), match.start() + 1
+            if new is not None:
+                at = match.end()
+                yield *match.span(), kind, new
+
+    def _grouped(self, kind: str, text: str, at: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+        """The same of numbers in groups: spans of groups, the likeliest length first. A
+        pseudonym must not make a span valid that was tried before and failed, or it could
+        not be undone; it walks on until it does not."""
+        for run in RUNS[kind].finditer(text, at, end):
+            valid, change = (is_card, card) if kind == "card" else (is_iban, iban)
+            made, first = list(run[0]), run.start()
+            busy, failed, taken = bytearray(len(made)), {}, []
+            for start, stop in _spans(kind, run[0]):
+                if busy.find(1, start, stop) >= 0:
+                    continue
+                if valid(run[0][start:stop]):
+                    busy[start:stop] = b"\1" * (stop - start)
+                    taken.append((start, stop, [(a, b) for a in range(start - LONGEST, stop) for b in failed.get(a, ()) if b > start]))
+                else:
+                    failed.setdefault(start, []).append(stop)
+            # One after the other, and undone the other way round.
+            for start, stop, near in reversed(taken) if self.back else taken:
+                new = self._pseudonym(kind, "".join(made[start:stop]))
+                made[start:stop] = new
+                while any(valid("".join(made[a:b])) for a, b in near):
+                    new = change(new, self.network, self.back)
+                    made[start:stop] = new
+                yield first + start, first + stop, kind, new
+
+    def _pseudonym(self, kind: str, found: str) -> str | None:
+        if (kind, found) not in self.memo:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            self.memo[kind, found] = _CHANGE[kind](found, self.network, self.back)
+        return self.memo[kind, found]
+
+
+def _spans(kind: str, text: str) -> list[tuple[int, int]]:
+    """Spans of whole groups that have a length of the kind, in the order of trying."""
+    groups = [m.span() for m in GROUP.finditer(text)]
+    found = []
+    for i, (first, _) in enumerate(groups):
+        if kind == "iban" and not IBAN_START.match(text, first):
+            continue
+        long = 0
+        for a, b in groups[i:]:
+            long += b - a
+            if long > 34:
+                break
+            if kind == "iban" and long >= 15:
+                found.append((long != IBAN_LENGTHS.get(text[first : first + 2]), -long, first, b))
+            elif kind == "card" and long in CARD_LENGTHS:
+                found.append((False, CARD_LENGTHS.index(long), first, b))
+    return [(a, b) for _, _, a, b in sorted(found)]
 
 
 def _changed(docs: DataFrame, key: bytes, back: bool, counted: bool) -> DataFrame:

@@ -48,6 +48,21 @@ def test_cards_stay_valid_and_distinct():
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize(
+    "number, around",
+    [("4111111111111111", a) for a in ("card {} 12/25", "{} 123", "5 {}", "No.{}", "{} 4111111111111112 7", "{} 2024-02-29", "1 22 {} 123-45-6789")]
+    + [("4111 1111 1111 1111", a) for a in ("{} 123", "{} 12/25", "9 {} 1225", "{}")]
+    + [("AT61 1904 3002 3457 3201", a) for a in ("{} BIC", "{} EUR 100", "REF AB12 {}")]
+    + [("AT611904300234573201", a) for a in ("{} USD", "{}")],
+)
+def test_numbers_beside_other_groups_are_replaced_and_restored(number, around):
+    for key in (b"a", b"b", b"c", b"d", b"e", b"f"):
+        text = around.format(number)
+        new, counts = pii.Pseudonyms(key).text(text)
+        assert number not in new and counts["card"] + counts["iban"] == 1
+        assert len(new) == len(text) and pii.Pseudonyms(key, back=True).text(new) == (text, counts)
+
+
 def test_tables(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "a 4111111111111111"), (2, "b 4111111111111111 c"), (2, "b 4111111111111111 c"), (3, None), (None, "")], "doc_id long, text string")
     rows = pii.report(docs).collect()
