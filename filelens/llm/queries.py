@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from filelens.llm import decontaminate, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity, warc
+from filelens.llm import decontaminate, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity, variants, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,6 +153,34 @@ def _(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    "op13_bit_sliced_variants",
+    r"""WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || CAST(range(8) AS BIGINT[]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+g AS (SELECT run, id || ':' || run AS s, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL),
+x AS (SELECT s, hex(encode(s)) AS x FROM g),
+b AS (SELECT s, [4294967295] || [CAST(('0x' || x[2 * i + 1 : 2 * i + 2]) AS BIGINT) for i in range(length(x) // 2)] AS b FROM x),
+h AS (SELECT s, xor(list_reduce(b, lambda c, k: xor(t[(xor(c, k) & 255) + 1], c >> 8)), 4294967295) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM g JOIN h USING (s)),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+c AS (SELECT word, n, i, word[: i] AS a, word[i + 2 :] AS z FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT x.word, y.word AS other, y.n FROM c AS x JOIN c AS y ON x.i = y.i AND x.a = y.a AND x.z = y.z WHERE x.word <> y.word
+  UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.a || c.z
+  UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.a || c.z),
+o AS (SELECT word, count(*) AS n_near, max(n) AS m, min(struct_pack(k := -n, w := other)).w AS best FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN best END AS form,
+  CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN o USING (word)),
+r(word, root, step) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL
+  SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, coalesce(e.root, f.word) AS root, n, n_near, form_n
+FROM f LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) AS e ON e.word = f.word""",
+)
+def _(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
