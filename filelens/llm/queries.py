@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from filelens.llm import decontaminate, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity, variants, warc
+from filelens.llm import (
+    collocations, decontaminate, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity, variants, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,6 +155,29 @@ def _(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(
+    "op11_suffix_collocations",
+    r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+s AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM s GROUP BY lang),
+g AS (SELECT lang, m, w[i : i + m - 1] AS g FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i
+  FROM s CROSS JOIN (SELECT unnest(range(1, 6)) AS m))),
+f AS MATERIALIZED (SELECT lang, m, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+b AS (SELECT lang, g, max(f) AS longest FROM (SELECT lang, f, unnest([g[i : i + k - 1] for i in range(1, m - k + 2)]) AS g
+  FROM f CROSS JOIN (SELECT unnest(range(2, 5)) AS k) WHERE k < m) GROUP BY ALL),
+c AS (SELECT f.lang, m, f.g, f AS a FROM f LEFT JOIN b ON b.lang = f.lang AND b.g = f.g WHERE m > 1 AND 100 * coalesce(longest, 0) < 100 * f),
+k AS (SELECT lang, g, a, k, g[: k] AS one, g[k + 1 :] AS two FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+q AS (SELECT k.lang, k.g, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM k
+  JOIN f AS x ON x.lang = k.lang AND x.g = one JOIN f AS y ON y.lang = k.lang AND y.g = two JOIN n ON n.lang = k.lang),
+o AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o QUALIFY rank <= 2000""",
+)
+def _(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op13_bit_sliced_variants",
     r"""WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || CAST(range(8) AS BIGINT[]),
