@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from filelens.llm import (
-    collocations, decontaminate, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity, variants, warc,
+    collocations, decontaminate, extraction, host_rules, jaccard, language, packing, pii, quality, secrets, toxicity,
+    variants, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +179,19 @@ def _(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+@query(
+    # Stated over the given pages, where the main text is what the one article element holds.
+    "op12_minimum_cut",
+    r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
+)
+def _(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op13_bit_sliced_variants",
     r"""WITH RECURSIVE t AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || CAST(range(8) AS BIGINT[]),
