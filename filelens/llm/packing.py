@@ -4,8 +4,8 @@ Documents become token pieces; how many pieces there are of each length (at most
 ``capacity`` numbers) is all that the plan needs. Long pieces are put into groups of
 equal cardinality and rounded up to the longest of their group; the few sizes that
 remain make a linear programme over configurations, solved with generated columns.
-Actual pieces then take the places of rounded ones, and what is left, the short ones
-above all, goes where it fits best. The plan is a list of runs (this many sequences
+Actual pieces then take the places of rounded ones, the last of each configuration so
+that it uses what rounding left over, and the short ones go where they fit best. The plan is a list of runs (this many sequences
 with these lengths), so its size depends on the lengths and not on the documents;
 every piece finds its sequence by its number among all pieces sorted by length.
 
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,11 @@ from filelens.operators.scale import number_rows
 from filelens.session import keep
 
 CAPACITY = 2048
-GROUPS = 24  # sizes that long pieces are rounded to
-LONG = 8  # pieces above capacity / LONG are long
+GROUPS = 60  # sizes that long pieces are rounded to
+LONG = 4  # pieces above capacity / LONG are long
 COLUMNS = 400  # configurations that are generated at most; a later one would be better by little
 CACHED_WORDS, CACHED_LENGTH = 500_000, 64
-_MARKS = tuple(".,;:?!")
+_SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~].*)", re.S)
 END = b"\0\0\0\0"
 
 _tokenizers: dict = {}
@@ -60,32 +62,67 @@ def _tokenizer(path: str | None):
     return _tokenizers[path]
 
 
-def _stem(word: str) -> tuple[str, str]:
-    """A word as it is encoded: lower case, and a mark after its last letter apart
-    (letters and marks never share a token). Special tokens stay as they are."""
-    if word.isascii() and "<" not in word:
-        word = word.lower()
-    return (word[:-1], word[-1]) if word[-1:] in _MARKS and word[-2:-1].isalpha() else (word, "")
+def _parts(word: str) -> tuple[str, str]:
+    """A word cut where a sign follows its first letters: they never share a token."""
+    found = _SIGNED.match(word)
+    # A letter that becomes a letter and a sign in lower case takes part in what follows.
+    return (found[1], found[2]) if found and found[1][-1].lower().isalpha() else (word, "")
+
+
+def _encode(tokenizer, parts: list[str]) -> dict[str, bytes]:
+    """Ids of parts of words. Those of letters only are encoded in one text, set apart
+    by a figure, which is always a token of its own."""
+    plain = [p for p in parts if p.isalpha()]
+    made = {}
+    if plain:
+        mark = tokenizer.encode("0", add_special_tokens=False).ids
+        ids = np.array(tokenizer.encode(" 0 ".join(plain), add_special_tokens=False).ids + mark, "<u4")
+        ends = np.flatnonzero(ids == mark[0])
+        data, at = ids.tobytes(), 0
+        for part, end in zip(plain, (4 * ends).tolist(), strict=True):
+            made[part] = data[at:end]
+            at = end + 4
+    odd = [p for p in parts if not p.isalpha()]
+    for part, found in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        made[part] = np.array(found.ids, "<u4").tobytes()
+    return made
 
 
 def token_ids(texts: list[str], path: str | None = None) -> list[bytes]:
     """Little-endian 32-bit ids of texts. The tokenizer drops white space and no token
-    spans it, so texts are encoded word by word and frequent words only once."""
+    spans it, so distinct words are encoded once and their ids put together again."""
     tokenizer = _tokenizer(path)
-    cut = [t.replace("\n", " ").split(" ") for t in texts]
+    whole = [t.encode("utf-8", "surrogatepass") for t in texts]
+    block = np.frombuffer(b"\n".join(whole), np.uint8)
+    if b"<|" not in block.tobytes():  # case tells special tokens from others, and nothing else
+        block = tx.LOWER[block]
+    inside = (block != 32) & (block != 10)
+    starts, ends = tx.edges(inside)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(block[inside])])
+    coded = spelled.dictionary_encode()
+    words = coded.dictionary.cast(pa.large_string()).to_pylist()
     if len(_words) > CACHED_WORDS:
         _words.clear()
-    new = {w: _stem(w) for words in cut for w in words if w not in _words}
-    apart = list({part for parts in new.values() for part in parts if part not in _words})
+    new = {w: _parts(w) for w in words if w not in _words}
+    apart = list({part for parts in new.values() for part in parts if part and part not in _words})
     for at in range(0, len(apart), 10_000):
-        some = apart[at : at + 10_000]
-        made = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-        _words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, made, strict=True))
-    _words.update((w, _words[stem] + _words[mark]) for w, (stem, mark) in new.items())
-    out = [b"".join(map(_words.__getitem__, words)) for words in cut]
+        _words.update(_encode(tokenizer, apart[at : at + 10_000]))
+    _words.update((w, _words[one] + _words[two]) for w, (one, two) in new.items() if two)
+    found = [_words[w] for w in words]
     for word in [w for w in (*new, *apart) if len(w) > CACHED_LENGTH]:
         _words.pop(word, None)
-    return out
+    # Ids of all words one after the other, taken from those of the distinct ones.
+    ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    codes = coded.indices.to_numpy()
+    begins, held = np.cumsum(sizes) - sizes, sizes[codes]
+    places = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(held, out=places[1:])
+    data = ids[np.repeat(begins[codes] - places[:-1], held) + np.arange(places[-1])].tobytes()
+    first = np.cumsum([0, *(len(t) + 1 for t in whole)])
+    cuts = (4 * places[np.searchsorted(starts, first)]).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -115,7 +152,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                     arrays, names = [*arrays, pa.array(columns[5], pa.binary())], [*names, "ids"]
                 yield pa.record_batch(arrays, names)
                 at = end
-        _words.clear()  # the worker goes on to other tasks
+        # The worker goes on to other tasks, of other operators too.
+        _words.clear()
+        _tokenizers.clear()
         tx.release()
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
@@ -184,63 +223,66 @@ def configurations(sizes: list[int], wanted: list[int], capacity: int) -> list[t
     return [(basis[:, j].round().astype(int), float(used[j])) for j in range(n)]
 
 
-def _substituted(groups: list[list[list[int]]], chosen: list[tuple[np.ndarray, int]]) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (sequences, lengths) with pieces of each group in the places of its
-    rounded size; takes them out of ``groups``."""
-    runs = []
+Runs = list[tuple[int, tuple[int, ...]]]
+
+
+def substituted(left: dict[int, int], sizes: list[int], chosen: list[tuple[np.ndarray, int]], capacity: int) -> Runs:
+    """Runs (sequences, lengths) with actual pieces in the places of rounded sizes; takes
+    them out of ``left``. A place takes the longest piece that its size has room for, the
+    last place of a configuration the longest that fits: what rounding left over is used."""
+    order, runs = sorted(left), []
     for made, times in chosen:
+        places = [size for size, many in sorted(zip(sizes, made.tolist(), strict=True), reverse=True) for _ in range(many)]
         while times > 0:
-            step, lengths = times, []
-            for group, many in zip(groups, made.tolist(), strict=True):
-                if many and group and group[-1][1] >= many:
-                    step = min(step, group[-1][1] // many)
-                elif many and group:
-                    step = 1
-            taken = []
-            for group, many in zip(groups, made.tolist(), strict=True):
-                for _ in range(many):
-                    if group:
-                        length = group[-1][0]
-                        group[-1][1] -= step
-                        taken.append(length)
-                        if not group[-1][1]:
-                            group.pop()
-            lengths = tuple(taken)
-            if not lengths:
+            taken: Counter[int] = Counter()
+            room = capacity
+            for place, size in enumerate(places, 1):
+                at = bisect.bisect_right(order, room if place == len(places) else min(size, room)) - 1
+                while at >= 0 and left[order[at]] <= taken[order[at]]:
+                    at -= 1
+                if at >= 0:
+                    taken[order[at]] += 1
+                    room -= order[at]
+            if not taken:
                 break
-            runs.append((step, lengths))
+            # So often until one length has too few pieces left.
+            step = min(times, *(left[length] // many for length, many in taken.items()))
+            runs.append((step, tuple(sorted(taken.elements(), reverse=True))))
             times -= step
+            for length, many in taken.items():
+                left[length] -= step * many
+                if not left[length]:
+                    del left[length]
+                    order.remove(length)
     return runs
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (sequences, lengths of their pieces) that hold exactly ``counts``: with the
-    long ones in groups, or, where rounding costs more than it saves, all by best fit."""
-    return min((_planned(counts, capacity, groups) for groups in (GROUPS, 0)), key=lambda runs: sum(t for t, _ in runs))
-
-
-def _planned(counts: dict[int, int], capacity: int, number: int) -> list[tuple[int, tuple[int, ...]]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, number: int = GROUPS) -> Runs:
+    """Runs (sequences, lengths of their pieces) that hold exactly ``counts``."""
     left = dict(counts)
-    done: list[tuple[int, tuple[int, ...]]] = []
-    if full := left.pop(capacity, 0):
-        done.append((full, (capacity,)))
-    long = {s: n for s, n in left.items() if number and s * LONG > capacity}
+    full = left.pop(capacity, 0)
+    long = {s: n for s, n in left.items() if s * LONG > capacity}
     left = {s: n for s, n in left.items() if s not in long}
-    runs: list[tuple[int, tuple[int, ...]]] = []
+    runs: Runs = []
     if long:
-        groups = groups_of_equal_size(long, number)
-        sizes, wanted = [g[0][0] for g in groups], [sum(n for _, n in g) for g in groups]
-        merged: dict[int, int] = {}
-        for size, n in zip(sizes, wanted, strict=True):
-            merged[size] = merged.get(size, 0) + n
-        joined = [[run for g in groups if g[0][0] == size for run in g] for size in merged]
-        chosen = [(made, int(times)) for made, times in configurations(list(merged), list(merged.values()), capacity) if times >= 1]
-        runs = _substituted(joined, chosen)
-        for group in joined:
-            for size, n in group:
-                left[size] = left.get(size, 0) + n
-    # Best fit: runs by the room that is left in their sequences.
-    open_runs: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        wanted: dict[int, int] = {}
+        for group in groups_of_equal_size(long, number):
+            wanted[group[0][0]] = wanted.get(group[0][0], 0) + sum(n for _, n in group)
+        sizes = list(wanted)
+        chosen = [(made, int(times)) for made, times in configurations(sizes, list(wanted.values()), capacity) if times >= 1]
+        # Few long places first: short pieces stay for what they leave.
+        chosen.sort(key=lambda one: one[0].sum())
+        runs = substituted(long, sizes, chosen, capacity)
+        for size, n in long.items():
+            left[size] = left.get(size, 0) + n
+    return ([(full, (capacity,))] if full else []) + best_fit(left, runs, capacity)
+
+
+def best_fit(left: dict[int, int], runs: Runs, capacity: int) -> Runs:
+    """Pieces go, longest first, where they leave the least room; a new sequence is begun
+    where none has room."""
+    done: Runs = []
+    open_runs: dict[int, Runs] = {}  # by the room that is left
     rooms: list[int] = []
 
     def put(times: int, lengths: tuple[int, ...]) -> None:
@@ -278,7 +320,7 @@ def _planned(counts: dict[int, int], capacity: int, number: int) -> list[tuple[i
     return done + [run for runs in open_runs.values() for run in runs]
 
 
-def _places(runs: list[tuple[int, tuple[int, ...]]], counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(runs: Runs, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For pieces numbered by length: the first number of each stretch, the sequence
     of that number (later ones follow on), and the offset there."""
     following, at = {}, 0
