@@ -1,9 +1,9 @@
 """Phrases of two to five words that occur together more often than by chance.
 
 Words are counted first. A task then turns its texts into suffixes: at every word the
-next five words of the piece, ended where two words in a row are too rare together to be
-part of a frequent phrase (fixed-size filters made from all counts tell; they let too
-much through, never too little), equal suffixes of a block counted as one. The suffixes
+next five words of the piece, ended before a word that is too rare to be part of a
+frequent phrase (a filter of fixed size made from all counts tells; it lets too much
+through, never too little), equal suffixes of a block counted as one. The suffixes
 are routed globally by their leading words, in ranges, so that a common word spreads over
 as many tasks as its suffixes need. Each task sorts pointers to its suffixes by multikey
 three-way quicksort down to five words: the size of an equal partition is the count of
@@ -29,17 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelens.llm import text as tx
-from filelens.operators.scale import first_rows
+from filelens.operators.scale import number_within
 from filelens.session import keep
 
 LONGEST = 5
 LEAST = 100  # occurrences of a phrase
 TOP = 2000  # phrases reported for each language
-BLOCK = 4 << 20  # bytes of one language that are looked at together
-HELD = 16 << 20  # bytes that wait for their block to fill, over all languages
-PAIR_BITS = 32  # pairs are counted by a hash of so many bits
-FILTER_BITS = 26  # a filter is 8 MB
-TASK_SUFFIXES = 1_000_000  # suffixes a task sorts
+BLOCK = 2 << 20  # bytes of one language that are looked at together
+HELD = 8 << 20  # bytes that wait for their block to fill, over all languages
+FILTER_BITS = 26  # the filter is 8 MB
+TASK_SUFFIXES = 500_000  # suffixes a task sorts
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[*map(ord, ".,;:!?"), *range(10, 14)]] = True
@@ -96,15 +95,6 @@ def _hashes(lang: str, spelled: pa.Array) -> np.ndarray:
     return tx.mix(found ^ np.uint64(zlib.crc32(lang.encode("utf-8", "surrogatepass"))))
 
 
-def _pair_hashes(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return tx.mix(one * np.uint64(3) + two) >> np.uint64(64 - PAIR_BITS)
-
-
-def _passes(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
-    place = (hashes >> np.uint64(width - FILTER_BITS)).astype(np.int64)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
-
 def filter_of(rows: DataFrame, place: str) -> np.ndarray:
     """A bitmap of fixed size of the places that occur, built where the rows are."""
     at = F.col(place) + 1
@@ -134,32 +124,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word", "place").agg(F.sum("n").alias("n"))
 
 
-def _frequent(lang: str, block: np.ndarray, frequent: np.ndarray):
-    """Numbers, spellings and hashes of a block's words; where two frequent ones follow
-    each other."""
-    codes, spelled, joined = words_of(block)
-    hashes = _hashes(lang, spelled) if len(codes) else np.zeros(0, np.uint64)
-    good = _passes(frequent, hashes, 64)[codes]
-    joined &= good
-    joined[:-1] &= good[1:]
-    return codes, spelled, hashes, joined
-
-
-def pair_counts(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(pair, n): occurrences of two frequent words in a row by a hash of ``PAIR_BITS``;
-    pairs that share a hash are counted together, so no count is too small."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, block in blocks(batches):
-            codes, _, hashes, joined = _frequent(lang, block, frequent)
-            at = np.flatnonzero(joined)
-            pairs, n = np.unique(_pair_hashes(hashes[codes[at]], hashes[codes[at + 1]]), return_counts=True)
-            yield pa.record_batch([tx.signed(pairs), pa.array(n)], ["pair", "n"])
-        tx.release()
-
-    return texts.mapInArrow(look, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
 def _distinct_rows(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of number columns, -1 to ``size`` - 1, and how often each occurs."""
     kind = columns[0].astype(np.int64)
@@ -169,15 +133,19 @@ def _distinct_rows(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarra
     return [c[first] for c in columns], n
 
 
-def suffixes(texts: DataFrame, frequent: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(lang, w1 .. w5, n): the words from a place on, as long as each two in a row may
+def suffixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(lang, w1 .. w5, n): the words from a place on, two at least, as long as each may
     be frequent, null after the end."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in blocks(batches):
-            codes, spelled, hashes, joined = _frequent(lang, block, frequent)
-            at = np.flatnonzero(joined)
-            joined[at] = _passes(pairs, _pair_hashes(hashes[codes[at]], hashes[codes[at + 1]]), PAIR_BITS)
+            codes, spelled, joined = words_of(block)
+            if not len(codes):
+                continue
+            place = (_hashes(lang, spelled) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            good = ((frequent[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)[codes]
+            joined &= good
+            joined[:-1] &= good[1:]
             at = np.flatnonzero(joined)
             if not len(at):
                 continue
@@ -301,13 +269,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     words = keep(word_counts(texts))
     common = words.where(F.col("n") >= least)
-    frequent = filter_of(common, "place")
-    often = pair_counts(texts, frequent).where(F.col("n") >= least)
-    pairs = filter_of(often.select(F.shiftright("pair", PAIR_BITS - FILTER_BITS).alias("place")), "place")
-    found = keep(suffixes(texts, frequent, pairs))
+    found = keep(suffixes(texts, filter_of(common, "place")))
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_SUFFIXES))
     phrases = keep(phrase_counts(found.repartitionByRange(width, "lang", *_WORDS), least))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    best = first_rows(scored(phrases, common, totals), ["lang"], order, top)
-    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = number_within(scored(phrases, common, totals), ["lang"], order, "rank", "phrase")
+    return ranked.where(F.col("rank") < top).select("lang", (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
