@@ -4,7 +4,8 @@ Texts become template tokens: numbers, names and units are replaced by typed
 placeholders and keep their values aside. Windows of template tokens are hashed and
 joined with those of the benchmark items. Windows that line up (same distance between
 the places in document and item) must replace the item's values consistently: one
-value of the item by one value of the document. Windows of template tokens need some
+name of the item by one name of the document, and within a window one number by one
+number. Windows of template tokens need some
 words; beside them stand windows of plain words in lower case, without placeholders and
 without any condition, so that copies word for word are found whatever they consist of
 and however names in them are told. Items of which enough windows of one of both kinds
@@ -35,6 +36,7 @@ WIDTH = 8  # template tokens of a window
 LEAST_WORDS = 4  # that are no placeholders
 COVERED = 0.3  # share of an item's windows from which it is found
 LONG_RUN = 24  # windows of an item that line up, from which it is found whatever its length
+LEAST_ITEM = 4  # words of an item for whose sake a document goes
 FILTER_BITS = 23
 
 # Words that stand for numbers, and units after a number.
@@ -115,7 +117,9 @@ def _read(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     heads = np.flatnonzero(~goes_on)
     values = np.add.reduceat(tx.mix(words + (np.arange(len(words)) - np.repeat(heads, np.diff([*heads, len(words)]))).astype(np.uint64)), heads) if len(heads) else words
     tokens = np.where(slot, kind, words)[heads]
-    return tokens, np.where(slot[heads], values | np.uint64(1), np.uint64(0)), words
+    # The lowest bits tell names (01) from numbers and units (11).
+    told = np.where(kind[heads] == _NAME, values & ~np.uint64(2) | np.uint64(1), values | np.uint64(3))
+    return tokens, np.where(slot[heads], told, np.uint64(0)), words
 
 
 def _telling(values: np.ndarray, width: int) -> np.ndarray:
@@ -158,7 +162,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                     out += _rows(item, (tokens, values, words), [(False, min(width, len(tokens))), (True, min(width, len(words)))])
             yield _emitted(out, "item_id")
 
-    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, _SHAPE.format("item_id"))
+    return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(tx.giving_back(cut), _SHAPE.format("item_id"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covered: float = COVERED) -> DataFrame:
@@ -182,26 +186,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covere
                     out = []
             yield _emitted(out, "doc_id")
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _SHAPE.format("doc_id"))
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tx.giving_back(cut), _SHAPE.format("doc_id"))
     theirs = items.withColumnsRenamed({"at": "item_at", "values": "item_values"})
     met = found.join(theirs, ["window", "plain", "width"])
     pair = lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))
+    filled = F.array_distinct(F.filter(F.zip_with("item_values", "values", pair), lambda p: p["theirs"] != 0))
+    name = lambda p: p["theirs"].bitwiseAND(F.lit(3)) == 1
+    single = lambda c: F.size(c) == F.size(F.array_distinct(F.col(f"{c}.theirs")))
+    # Equal numbers of an item may play two roles: they need to be told apart only within
+    # a window. A name is the same all along.
+    met = met.withColumn("_pairs", filled).where(single("_pairs"))
     lined = (
         met.groupBy("doc_id", "item_id", "plain", (F.col("at") - F.col("item_at")).alias("distance"))
         .agg(
             F.collect_set("item_at").alias("places"),
-            F.collect_set(F.filter(F.zip_with("item_values", "values", pair), lambda p: p["theirs"] != 0)).alias("_pairs"),
+            F.collect_set(F.filter("_pairs", name)).alias("_names"),
+            F.bool_and(F.forall("_pairs", lambda p: p["theirs"] == p["ours"])).alias("_same"),
         )
-        .withColumn("_pairs", F.array_distinct(F.flatten("_pairs")))
+        .withColumn("_names", F.array_distinct(F.flatten("_names")))
     )
-    consistent = F.size("_pairs") == F.size(F.array_distinct(F.col("_pairs.theirs")))
-    same = F.forall("_pairs", lambda p: p["theirs"] == p["ours"])
     counted = items.groupBy("item_id", "plain").agg(F.count_distinct("at").alias("n_windows"))
     share = F.col("n_matched") / F.col("n_windows")
     best = F.max(F.struct(share.alias("share"), (~F.col("plain")).alias("slots"), "n_windows", "n_matched", "verbatim"))
     return (
-        lined.where(consistent)
-        .withColumn("_same", same)
+        lined.where(single("_names"))
         .groupBy("doc_id", "item_id", "plain")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_matched"),
@@ -218,6 +226,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covere
 
 
 def keep_untouched(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covered: float = COVERED) -> DataFrame:
-    """Documents in which no item is found. Rows without an id stay."""
-    gone = keep(find_leaks(docs, benchmark, width, covered).select("doc_id").distinct())
+    """Documents in which no item is found. Rows without an id stay, and so do documents
+    with nothing but items of fewer than ``LEAST_ITEM`` words, which prove nothing."""
+    telling = benchmark.where(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) >= LEAST_ITEM)
+    gone = keep(find_leaks(docs, telling, width, covered).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

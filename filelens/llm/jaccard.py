@@ -82,9 +82,8 @@ def frequent_tokens(docs: DataFrame, width: int, most: int = FREQUENT) -> np.nda
         if held:
             yield report()
         held = []
-        tx.release()
 
-    local = docs.select("text").mapInArrow(count, "token long, seen long")
+    local = docs.select("text").mapInArrow(tx.giving_back(count), "token long, seen long")
     top = local.groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(most)
     return np.sort(np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
@@ -114,10 +113,9 @@ def sets(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> Dat
             out += [pa.array(least, pa.list_(pa.int64()))]
             out += [pa.array(x, pa.binary()) for x in (sketches, prefixes)]
             yield pa.record_batch(out, ["doc_id", "n", "d1", "d2", "least", "sketch", "prefix"])
-        tx.release()
 
     shape = "doc_id long, n long, d1 long, d2 long, least array<long>, sketch binary, prefix binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, shape)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tx.giving_back(describe), shape)
 
 
 # --- groups and their matrix --------------------------------------------------------
@@ -150,7 +148,7 @@ def blocks(classes: DataFrame) -> DataFrame:
 
     # The commonest key whose leader is similar; a leader follows its own offers too.
     chosen = (
-        met.mapInArrow(agree, "rep long, leader long, many long")
+        met.mapInArrow(tx.giving_back(agree), "rep long, leader long, many long")
         .groupBy("rep").agg(F.max(F.struct("many", (-F.col("leader")).alias("to"))).alias("_best"))
         .select("rep", (-F.col("_best.to")).alias("unit"))
     )
@@ -310,13 +308,12 @@ def links(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, per
         if key is not None:
             yield _pairs(opened())
         held = ([], [])
-        tx.release()
 
-    rows = wanted.join(keep(texts.mapInArrow(tokens, "rep long, tokens binary")), "rep").select(
+    rows = wanted.join(keep(texts.mapInArrow(tx.giving_back(tokens), "rep long, tokens binary")), "rep").select(
         F.col("home.unit").alias("unit"), F.col("home.part").alias("part"), "chunk", "side", "rep", "tokens"
     )
     key = ["unit", "part", "chunk"]
-    return rows.repartition(*key).sortWithinPartitions(*key, "side", "rep").mapInArrow(compare, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key, "side", "rep").mapInArrow(tx.giving_back(compare), "a long, b long")
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:

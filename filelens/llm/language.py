@@ -13,13 +13,13 @@ be learned every text is ``und``. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _INSIDE = np.zeros(256, bool)
 _INSIDE[97:123] = True
 _INSIDE[128:] = True

@@ -47,7 +47,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
 )
 BASE = ("assign", "access", "hex")
 
@@ -245,11 +245,16 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     ``n_chars`` (if there) counted anew for changed texts. Other columns and null
     texts stay as they are."""
     columns = docs.columns
-    out = _with_candidates(_keyed(docs), rules)
+    # The given columns travel as one, so that no helper can bear the name of one.
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    out = _with_candidates(_keyed(docs.select(row, "doc_id", "text")), rules)
     for rule in rules:
         out = out.withColumn("_text", F.when(F.col(f"_is_{rule.kind}"), _masked(rule)).otherwise(F.col("_text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_text")) & F.col("text").isNotNull()
+    given = lambda c: F.col("_row").getField(c)
+    changed = ~given("text").eqNullSafe(F.col("_text")) & given("text").isNotNull()
+    made = {c: given(c) for c in columns}
+    made["text"] = F.when(changed, F.col("_text")).otherwise(made["text"])
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(changed, F.length("_text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text"))).select(*columns)
+        made["n_chars"] = F.when(changed, F.length("_text").cast(kind)).otherwise(made["n_chars"])
+    return out.select(*[value.alias(c) for c, value in made.items()])

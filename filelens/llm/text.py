@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +105,25 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def release() -> None:
     """Give back what a finished task no longer needs; its worker process stays."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
 
+def giving_back(look: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, which gives memory back when it ends, however it ends."""
+
+    @wraps(look)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from look(batches)
+        finally:
+            release()
+
+    return run
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 

@@ -115,7 +115,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["code", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(tx.giving_back(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = np.zeros(SYMBOLS**3)
     for code, n in rows.collect():
         counts[code] = n
@@ -241,7 +241,7 @@ def _supports(texts: DataFrame, characters: np.ndarray, among: set[int] | None)
                     ["feature", "label", "kin"],
                 )
 
-    rows = texts.select("text", "label").mapInArrow(count, "feature long, label int, kin long").distinct()
+    rows = texts.select("text", "label").mapInArrow(tx.giving_back(count), "feature long, label int, kin long").distinct()
     return rows.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("support"))
 
 
@@ -265,7 +265,6 @@ class Scorer:
     def forget(self) -> None:
         self.memo.clear()
         self.reader.memo.clear()
-        tx.release()
 
     def measures(self, text: str | None) -> tuple[float, float, float]:
         return measures(self.reader.words(text), self.weigh)
@@ -294,8 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             seen = [scorer.measures(t) for t in tx.column(batch, "text")]
             columns = [pa.array([m[i] for m in seen], pa.float64()) for i in range(3)]
             yield pa.record_batch([*columns, batch.column(batch.schema.get_field_index("label"))], ["a", "b", "c", "label"])
+        scorer.forget()
 
-    seen = texts.select("text", "label").mapInArrow(look, "a double, b double, c double, label int").collect()
+    seen = texts.select("text", "label").mapInArrow(tx.giving_back(look), "a double, b double, c double, label int").collect()
     table = np.array([tuple(r) for r in seen], float).reshape(-1, 4)
     model.curve = fit_logistic(table[:, :3], table[:, 3])
     return model
@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), pa.array(points)], ["doc_id", "score"])
         scorer.forget()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(look, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tx.giving_back(look), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -328,4 +328,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Data
             yield batch.filter(pa.array(points < 0.5))
         scorer.forget()
 
-    return docs.mapInArrow(clean, docs.schema).select(*columns)
+    return docs.mapInArrow(tx.giving_back(clean), docs.schema).select(*columns)

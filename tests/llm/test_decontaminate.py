@@ -24,6 +24,20 @@ def test_other_numbers_and_names_are_found_if_consistent(spark):
     assert not {2, 3, 5, 6} & {d for d, _ in found}
 
 
+def test_equal_numbers_may_play_two_roles(spark):
+    item = "A train goes 60 km in 2 hours and a bus goes 60 km in 5 hours, so how far apart are they after a while?"
+    other = item.replace("60", "90", 1).replace("60", "70")
+    found = leaks(spark, [f"Now: {other}", f"Now: {item}"], [(1, item)])
+    assert set(found) == {(0, 1), (1, 1)} and not found[0, 1].verbatim and found[1, 1].verbatim
+
+
+def test_documents_stay_where_an_item_of_few_words_is_found(spark):
+    docs = spark.createDataFrame([(1, "yes, we can"), (2, f"so {ITEM}"), (3, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Yes", "x"), (2, ITEM, "x"), (3, "7 8 9", "x")], SHAPE)
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, items).collect()} == {(1, 1), (2, 2)}
+    assert {r.doc_id for r in dc.keep_untouched(docs, items).collect()} == {1, 3}
+
+
 def test_short_items_and_odd_items(spark):
     found = leaks(spark, ["well, what is it now then", "nothing"], [(1, "What is it?"), (2, None), (3, ""), (4, "7 8 9")])
     assert set(found) == {(0, 1)}

@@ -156,3 +156,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     of = {r.doc_id: r.lang_pred for r in language.predict(odd_docs, trained).collect()}
     assert of[1] == of[2] == of[3] == "und" and of[4] == of[12] == "en"
     assert language.predict(no_docs, trained).collect() == []
+
+
+def test_texts_of_numerals_have_no_language(spark):
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "fr") for i, t in enumerate(["the cat is here", "le chat est ici"] * 20)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "½"), (2, "²³ Ⅷ 12"), (3, "_"), (4, "é")], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language.predict(odd, language.fit(docs)).collect()}
+    assert [found[i] == "und" for i in (1, 2, 3, 4)] == [True, True, True, False]
