@@ -20,8 +20,10 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ LONG = 4  # pieces above capacity / LONG are long
 COLUMNS = 400  # configurations that are generated at most; a later one would be better by little
 CACHED_WORDS, CACHED_LENGTH = 500_000, 64
 _SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~].*)", re.S)
+_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 END = b"\0\0\0\0"
 
 _tokenizers: dict = {}
@@ -70,24 +73,26 @@ def _parts(word: str) -> tuple[str, str]:
 
 
 def _encode(tokenizer, parts: list[str]) -> dict[str, bytes]:
-    """Ids of parts of words. Those of letters only are encoded in one text, set apart
-    by a figure, which is always a token of its own."""
-    plain = [p for p in parts if p.isalpha()]
-    made = {}
-    if plain:
-        mark = tokenizer.encode("0", add_special_tokens=False).ids
-        ids = np.array(tokenizer.encode(" 0 ".join(plain), add_special_tokens=False).ids + mark, "<u4")
-        ends = np.flatnonzero(ids == mark[0])
-        data, at = ids.tobytes(), 0
-        for part, end in zip(plain, (4 * ends).tolist(), strict=True):
-            made[part] = data[at:end]
-            at = end + 4
-    odd = [p for p in parts if not p.isalpha()]
+    """Ids of parts of words. One of small Latin letters only is normal already and one
+    unit, so the tokenizer's model alone can tell its ids."""
+    model = tokenizer.model
+    plain = [p for p in parts if _SMALL.fullmatch(p)]
+    made = {p: array("I", [t.id for t in model.tokenize(p.translate(_as_bytes()))]).tobytes() for p in plain}
+    odd = [p for p in parts if p not in made]
     for part, found in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-        made[part] = np.array(found.ids, "<u4").tobytes()
+        made[part] = array("I", found.ids).tobytes()
     return made
 
 
+@cache
+def _as_bytes() -> dict[int, str]:
+    """How a byte-level model spells letters beyond ASCII."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {code: spell(chr(code))[0][0] for code in range(0xDF, 0x100)}
+
+
 def token_ids(texts: list[str], path: str | None = None) -> list[bytes]:
     """Little-endian 32-bit ids of texts. The tokenizer drops white space and no token
     spans it, so distinct words are encoded once and their ids put together again."""
