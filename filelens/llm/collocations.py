@@ -5,8 +5,10 @@ next five words of the piece, ended before a word that is too rare to be part of
 frequent phrase (a filter of fixed size made from all counts tells; it lets too much
 through, never too little), equal suffixes of a block counted as one. The suffixes
 are routed globally by their leading words, in ranges, so that a common word spreads over
-as many tasks as its suffixes need. Each task sorts pointers to its suffixes by multikey
-three-way quicksort down to five words: the size of an equal partition is the count of
+as many tasks as its suffixes need; a bounded sample of suffixes says where ranges end,
+which only decides how evenly they fill. Suffixes travel packed, those of a block and a
+range in one row. Pointers to the suffixes of a range are sorted by multikey three-way
+quicksort down to five words: the size of an equal partition is the count of
 the phrase it stands for, and a partition that is too small is abandoned. Only phrases
 that reach over the end of a range are counted in parts, which are added up.
 
@@ -20,8 +22,11 @@ empty result. A piece may be as long as it likes: blocks end where pieces end.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +43,14 @@ TOP = 2000  # phrases reported for each language
 BLOCK = 2 << 20  # bytes of one language that are looked at together
 HELD = 8 << 20  # bytes that wait for their block to fill, over all languages
 FILTER_BITS = 26  # the filter is 8 MB
-TASK_SUFFIXES = 500_000  # suffixes a task sorts
+RANGE = 500_000  # suffixes of a range, about
+SAMPLED_TEXTS, SAMPLED_EVERY, SAMPLED = 20_000, 64, 50_000  # texts, every so many of their suffixes, and suffixes at most
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[*map(ord, ".,;:!?"), *range(10, 14)]] = True
 _BETWEEN = _STOPS.copy()
 _BETWEEN[[32, 9]] = True
-_WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-_SUFFIX = "lang string, " + ", ".join(f"{w} string" for w in _WORDS) + ", n long"
+Suffix = tuple[str, ...]  # the language and the words, "" after the end
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
@@ -118,9 +123,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [pa.array([lang] * len(spelled), pa.string()), spelled.cast(pa.string()), tx.signed(place),
                  pa.array(np.bincount(codes, minlength=len(spelled)))], ["lang", "word", "place", "n"])
-        tx.release()
 
-    found = texts.mapInArrow(look, "lang string, word string, place long, n long")
+    found = texts.mapInArrow(tx.giving_back(look), "lang string, word string, place long, n long")
     return found.groupBy("lang", "word", "place").agg(F.sum("n").alias("n"))
 
 
@@ -133,33 +137,109 @@ def _distinct_rows(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarra
     return [c[first] for c in columns], n
 
 
-def suffixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(lang, w1 .. w5, n): the words from a place on, two at least, as long as each may
-    be frequent, null after the end."""
+def suffix_table(lang: str, block: np.ndarray, frequent: np.ndarray) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The words of a block in their order, its distinct suffixes as numbers into them
+    (-1 after the end), sorted, and how often each occurs. A suffix is the words from a
+    place on, two at least, as long as each may be frequent."""
+    codes, spelled, joined = words_of(block)
+    if len(codes):
+        place = (_hashes(lang, spelled) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        good = ((frequent[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)[codes]
+        joined &= good
+        joined[:-1] &= good[1:]
+    at = np.flatnonzero(joined)
+    if not len(at):
+        return [], [], np.zeros(0, np.int64)
+    words = spelled.cast(pa.string()).to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    codes = rank[codes]
+    columns, goes_on = [codes[at]], np.ones(len(at), bool)
+    for step in range(1, LONGEST):
+        goes_on &= joined[np.minimum(at + step - 1, len(codes) - 1)]
+        columns.append(np.where(goes_on, codes[np.minimum(at + step, len(codes) - 1)], -1))
+    columns, n = _distinct_rows(columns, len(words))
+    return [words[i] for i in order], columns, n
+
+
+def sampled_suffixes(texts: DataFrame, frequent: np.ndarray) -> list[Suffix]:
+    """A bounded, sorted sample of suffixes."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in blocks(batches):
-            codes, spelled, joined = words_of(block)
-            if not len(codes):
-                continue
-            place = (_hashes(lang, spelled) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            good = ((frequent[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)[codes]
-            joined &= good
-            joined[:-1] &= good[1:]
-            at = np.flatnonzero(joined)
-            if not len(at):
+            words, columns, _ = suffix_table(lang, block, frequent)
+            picked = [(words[i] if i >= 0 else "" for i in column[::SAMPLED_EVERY].tolist()) for column in columns]
+            found = [[lang, *row] for row in zip(*picked, strict=True)]
+            yield pa.record_batch([pa.array(found, pa.list_(pa.string()))], ["suffix"])
+
+    texts = texts.sample(min(1.0, SAMPLED_TEXTS / max(texts.count(), 1)), 7)
+    found = texts.mapInArrow(tx.giving_back(look), "suffix array<string>")
+    return sorted(tuple(r[0]) for r in found.orderBy(F.xxhash64("suffix")).limit(SAMPLED).collect())
+
+
+def ends_of_ranges(sample: list[Suffix], number: int) -> list[Suffix]:
+    """At most ``number`` - 1 suffixes that ranges begin with, all but the first range."""
+    return sorted({sample[len(sample) * i // number] for i in range(1, number)}) if sample else []
+
+
+def cuts(lang: str, words: list[str], columns: list[np.ndarray], ends: list[Suffix]) -> list[int]:
+    """Where the sorted suffixes of a block are cut into ranges."""
+    size, found = len(columns[0]), []
+    for end in ends:
+        low, high = (0, size) if end[0] == lang else (0, 0) if end[0] < lang else (size, size)
+        for column, word in zip(columns, end[1:], strict=True):
+            rank = bisect.bisect_left(words, word) if word else -1
+            known = not word or (rank < len(words) and words[rank] == word)
+            part = column[low:high]
+            low, high = low + int(np.searchsorted(part, rank, "left")), low + int(np.searchsorted(part, rank, "right"))
+            if not known:
+                high = low
+        found.append(low)
+    return found
+
+
+def packed(words: list[str], columns: list[np.ndarray], n: np.ndarray) -> tuple[int, bytes, int, bytes, int]:
+    """Suffixes as a few bytes: their number, the words they hold, and numbers into them."""
+    flat = np.stack([*columns])
+    used, flat = np.unique(flat, return_inverse=True)
+    held = [words[i] for i in used.tolist() if i >= 0]
+    flat = flat.reshape(len(columns), -1) - (len(used) - len(held))  # -1 stays the end
+    told = "\t".join(held).encode("utf-8", "surrogatepass")  # no word holds a tab
+    numbers = np.concatenate([flat, n[None]]).astype("<i4")
+    # Bytes of one weight side by side: most are alike.
+    data = np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(n), pa.compress(told, "zstd", asbytes=True), len(told), pa.compress(data, "zstd", asbytes=True), len(data)
+
+
+def unpacked(told: bytes, told_size: int, data: bytes, data_size: int) -> tuple[list[str], np.ndarray]:
+    """Words, and rows of numbers: a suffix's words, and how often it occurs."""
+    words = pa.decompress(told, told_size, "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\t")
+    flat = np.frombuffer(pa.decompress(data, data_size, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    return words, np.ascontiguousarray(flat.T).view("<i4").reshape(LONGEST + 1, -1)
+
+
+_PACKED = "range int, lang string, rows long, told binary, told_size int, data binary, data_size int"
+
+
+def suffixes(texts: DataFrame, frequent: np.ndarray, ends: list[Suffix]) -> DataFrame:
+    """Packed suffixes of each block and range."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, block in blocks(batches):
+            words, columns, n = suffix_table(lang, block, frequent)
+            if not len(n):
                 continue
-            columns, open_ = [codes[at].astype(np.int64)], np.ones(len(at), bool)
-            for step in range(1, LONGEST):
-                last = np.minimum(at + step, len(codes) - 1)
-                open_ &= joined[np.minimum(at + step - 1, len(codes) - 1)]
-                columns.append(np.where(open_, codes[last], -1))
-            columns, n = _distinct_rows(columns, len(spelled))
-            words = [spelled.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in columns]
-            yield pa.record_batch([pa.array([lang] * len(n), pa.string()), *words, pa.array(n)], ["lang", *_WORDS, "n"])
-        tx.release()
+            bounds = [0, *cuts(lang, words, columns, ends), len(n)]
+            rows = [
+                (at, lang, *packed(words, [c[low:high] for c in columns], n[low:high]))
+                for at, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)) if high > low
+            ]
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.record_batch(arrays, ["range", "lang", "rows", "told", "told_size", "data", "data_size"])
 
-    return texts.mapInArrow(look, _SUFFIX)
+    return texts.mapInArrow(tx.giving_back(look), _PACKED)
 
 
 def quicksort_counts(columns: list[np.ndarray], weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -189,9 +269,12 @@ def quicksort_counts(columns: list[np.ndarray], weights: np.ndarray, least: int)
 def range_counts(columns: list[np.ndarray], weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """The same for one range of a longer table: runs that the first or last row of the
     range begins with may go on outside, and are told whatever they weigh."""
-    order = np.lexsort(columns[::-1])
     edges: set[tuple[int, ...]] = set()
-    for end in (order[0], order[-1]):
+    for outer in (np.min, np.max):
+        rows = np.arange(len(weights))
+        for column in columns:
+            rows = rows[column[rows] == outer(column[rows])]
+        end = int(rows[0])
         same = np.ones(len(weights), bool)
         for depth, column in enumerate(columns):
             same &= column == column[end]
@@ -206,34 +289,38 @@ def range_counts(columns: list[np.ndarray], weights: np.ndarray, least: int) ->
             yield depth, row, count
 
 
+def phrases_of_range(parts: list[tuple], least: int) -> pa.RecordBatch:
+    """(lang, phrase, words, a) of the packed suffixes of one range."""
+    read = [(lang, *unpacked(*part)) for lang, *part in parts]
+    names = sorted({lang for lang, _, _ in read})
+    words = sorted({word for _, own, _ in read for word in own})
+    rank = {word: i for i, word in enumerate(words)}
+    stacked = []
+    for lang, own, numbers in read:
+        # Numbers in the order of all words; the last one, for the end, is -1.
+        moved = np.array([*map(rank.__getitem__, own), -1], np.int32)
+        stacked.append(np.concatenate([np.full((1, numbers.shape[1]), names.index(lang)), moved[numbers[:-1]], numbers[-1:]]))
+    table = np.concatenate(stacked, axis=1)
+    columns, weights = list(table[:-1].astype(np.int32)), table[-1].astype(np.int64)
+    found = [f for f in range_counts(columns, weights, least) if f[0] > 2]  # language and two words
+    return pa.record_batch(
+        [pa.array([names[columns[0][row]] for _, row, _ in found], pa.string()),
+         pa.array([" ".join(words[c[row]] for c in columns[1:depth]) for depth, row, _ in found], pa.string()),
+         pa.array([depth - 1 for depth, *_ in found], pa.int32()), pa.array([n for *_, n in found], pa.int64())],
+        ["lang", "phrase", "words", "a"])
+
+
 def phrase_counts(routed: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, words, a) of the frequent phrases of two words or more."""
+    """(lang, phrase, words, a) of the frequent phrases of two words or more, from packed
+    suffixes in the order of their ranges."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [batch for batch in batches if batch.num_rows]
-        if not parts:
-            return
-        held = pa.Table.from_batches(parts)
-        columns, spelled = [], []
-        for name in ("lang", *_WORDS):
-            coded = held.column(name).dictionary_encode().combine_chunks()
-            # Numbers in the order of the words, the end of a suffix before them.
-            rank = np.full(len(coded.dictionary) + 1, -1, np.int32)
-            rank[np.argsort(np.array(coded.dictionary.to_pylist(), object))] = np.arange(len(rank) - 1)
-            columns.append(rank[coded.indices.fill_null(len(rank) - 1).to_numpy(zero_copy_only=False)])
-            spelled.append(held.column(name))
-        weights = held.column("n").to_numpy()
-        found = [f for f in range_counts(columns, weights, least) if f[0] > 2]  # language and two words
-        rows = pa.array([row for _, row, _ in found], pa.int64())
-        picked = [column.take(rows).to_pylist() for column in spelled]
-        phrases = [" ".join(p[i] for p in picked[1:depth]) for i, (depth, _, _) in enumerate(found)]
-        yield pa.record_batch(
-            [pa.array(picked[0], pa.string()), pa.array(phrases, pa.string()),
-             pa.array([depth - 1 for depth, _, _ in found], pa.int32()), pa.array([n for *_, n in found], pa.int64())],
-            ["lang", "phrase", "words", "a"])
-        tx.release()
-
-    parts = routed.mapInArrow(look, "lang string, phrase string, words int, a long")
+        names = ("range", "lang", "told", "told_size", "data", "data_size")
+        rows = (row for batch in batches for row in zip(*(tx.column(batch, c) for c in names), strict=True))
+        for _, parts in groupby(rows, key=itemgetter(0)):
+            yield phrases_of_range([part[1:] for part in parts], least)
+
+    parts = routed.mapInArrow(tx.giving_back(look), "lang string, phrase string, words int, a long")
     return parts.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -269,9 +356,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     words = keep(word_counts(texts))
     common = words.where(F.col("n") >= least)
-    found = keep(suffixes(texts, filter_of(common, "place")))
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_SUFFIXES))
-    phrases = keep(phrase_counts(found.repartitionByRange(width, "lang", *_WORDS), least))
+    frequent = filter_of(common, "place")
+    held = common.agg(F.sum("n")).first()[0] or 0
+    ends = ends_of_ranges(sampled_suffixes(texts, frequent), -(-held // RANGE)) if held > RANGE else []
+    routed = suffixes(texts, frequent, ends).repartition(len(ends) + 1, "range").sortWithinPartitions("range")
+    phrases = keep(phrase_counts(routed, least))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     ranked = number_within(scored(phrases, common, totals), ["lang"], order, "rank", "phrase")

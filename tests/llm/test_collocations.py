@@ -58,7 +58,8 @@ def corpus(seed: int, docs: int = 150):
 @pytest.mark.parametrize("seed,least,task", [(1, 20, 1_000_000), (2, 5, 50), (3, 5, 7), (4, 2, 400)])
 def test_equals_plain_counting(spark, monkeypatch, seed, least, task):
     """Small tasks, so that runs go over the ends of ranges."""
-    monkeypatch.setattr(collocations, "TASK_SUFFIXES", task)
+    monkeypatch.setattr(collocations, "RANGE", task)
+    monkeypatch.setattr(collocations, "SAMPLED_EVERY", 3)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
     want = brute(rows, least)
@@ -74,6 +75,17 @@ def test_small_blocks_and_full_filters_change_nothing(spark, monkeypatch):
     assert rows_of(collocations.collocations(docs, 5, 30)) == brute(rows, 5, 30)
 
 
+def test_packed_suffixes_come_back():
+    words = ["a", "b", "ß", "日本"]
+    columns = [np.array(c) for c in ([0, 1, 3], [1, 1, 3], [-1, 3, 3], [-1, -1, 0], [-1, -1, -1])]
+    n = np.array([1, 70_000, 3])
+    count, *parts = collocations.packed(words, columns, n)
+    own, numbers = collocations.unpacked(*parts)
+    assert count == 3 and numbers[-1].tolist() == n.tolist()
+    spelled = [[own[i] if i >= 0 else None for i in row] for row in numbers[:-1].T.tolist()]
+    assert spelled == [["a", "b", None, None, None], ["b", "b", "日本", None, None], ["日本", "日本", "日本", "a", None]]
+
+
 def test_quicksort_counts_equal_runs():
     draw = np.random.default_rng(1)
     rows = draw.integers(-1, 4, (3000, 4))
