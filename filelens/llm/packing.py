@@ -38,7 +38,7 @@ CAPACITY = 2048
 GROUPS = 60  # sizes that long pieces are rounded to
 LONG = 4  # pieces above capacity / LONG are long
 COLUMNS = 400  # configurations that are generated at most; a later one would be better by little
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 250_000, 64
 _SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~].*)", re.S)
 _SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 END = b"\0\0\0\0"
@@ -138,9 +138,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for batch in batches:
             ids, texts = tx.column(batch, "doc_id"), [t or "" for t in tx.column(batch, "text")]
             at = 0
-            while at < len(texts):  # a few MB of text at a time
+            while at < len(texts):  # a bounded stretch of text at a time
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < 2_000_000):
                     size += len(texts[end])
                     end += 1
                 rows = []
