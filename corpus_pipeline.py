@@ -50,7 +50,13 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
+# Rows that go to a Python worker at once: workers and executors keep the room that the
+# largest batch took, and stages with other needs follow each other in the same ones.
+BATCH_ROWS = 1000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
