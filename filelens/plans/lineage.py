@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filelens import schema
 from filelens.operators import scale
-from filelens.session import pin
+from filelens.sources import sections
 
 # Per stage its input kind, output kind, whether it changes a
 # machine, and how many inputs it takes (no maximum is null).
@@ -34,27 +32,11 @@ STAGE_TABLE = (
 # leave them out.
 POSITIONAL = ("entry_id", "group_id", "object_id", "first_name", "first_entry")
 
-FOLD_HEX = 3
-
 
 def stages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STAGES), STAGE_TABLE)
 
 
-def _canonical(frame: DataFrame, with_ids: bool) -> Column:
-    """A row as text: named fields in a fixed order, absent told from zero, times
-    as signed microseconds."""
-    fields = []
-    for field in sorted(frame.schema.fields, key=lambda f: f.name):
-        if field.name in POSITIONAL and not with_ids:
-            continue
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.TimestampType):
-            value = F.unix_micros(value)
-        fields.append(value.alias(field.name))
-    return F.to_json(F.struct(*fields))
-
-
 def content_digest(
     tables: Mapping[str, DataFrame], parents: tuple[str, ...] = (), with_ids: bool = False
 ) -> str:
@@ -62,34 +44,15 @@ def content_digest(
 
     ``with_ids`` covers the ids too. A stored artifact needs that: later stages join on
     its ids, so a row that changes its group or its entry is another artifact.
-
-    Equal rows are counted first, so repeated rows cannot pile up. Distinct row
-    hashes are uniform; they are folded by prefix, each fold over a bounded number
-    of hashes, until one remains.
     """
-    rows = None
-    for name in sorted(tables):
-        frame = tables[name]
-        marked = frame.select(
-            F.sha2(F.concat(F.lit(f"{name}:"), _canonical(frame, with_ids)), 256).alias("hash")
-        )
-        rows = marked if rows is None else rows.unionByName(marked)
-    counted = pin(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
-    size = counted.count()
-    depth = FOLD_HEX * max(0, math.ceil(math.log(max(size, 1), 16**FOLD_HEX)) - 1)
-    level = counted.select("hash", F.concat_ws(":", "hash", F.col("n").cast("string")).alias("text"))
-    while True:
-        level = level.groupBy(F.substring("hash", 1, depth).alias("hash")).agg(
-            F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("text"))), 256).alias("text")
-        )
-        if depth == 0:
-            break
-        level = level.select("hash", F.concat_ws(":", "hash", "text").alias("text"))
-        depth -= FOLD_HEX
-    folded = level.first()
-    text = folded["text"] if folded else ""
-    closing = "|".join([",".join(sorted(tables)), str(size), text, *parents])
-    return hashlib.sha256(closing.encode()).hexdigest()
+    skip = () if with_ids else POSITIONAL
+    return chained({name: sections.root(sections.tree(frame, (), skip)) for name, frame in tables.items()}, parents)
+
+
+def chained(roots: Mapping[str, tuple[int, str]], parents: Sequence[str] = ()) -> str:
+    """The digest of an artifact: its tables' roots by name, then its parents in order."""
+    told = [f"{name}:{rows}:{digest}" for name, (rows, digest) in sorted(roots.items())]
+    return hashlib.sha256("|".join([*told, "", *parents]).encode()).hexdigest()
 
 
 def chain_audit(headers: DataFrame, supplied: DataFrame) -> DataFrame:

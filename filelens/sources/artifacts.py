@@ -1,7 +1,9 @@
 """Artifacts: a Parquet dataset per table, with a header written last.
 
-The header carries the version, the parents and the digest of what was written.
-A folder without a header was never finished; one whose digest differs was changed.
+The header carries the version, the parents and the digest of what was written: the
+roots of the tables' section trees, which are stored beside them. A folder without a
+header was never finished; one whose digest differs was changed. A section can be checked
+alone, and two artifacts are compared by reading the sections that differ.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filelens import schema
-from filelens.plans.lineage import STAGES, content_digest
+from filelens.plans.lineage import STAGES, chained
+from filelens.sources import sections
 
 TOOL_VERSION = "0.1"
 OUTPUT_KIND = {stage: kind for stage, _, kind, *_ in STAGES}
@@ -27,14 +31,15 @@ TABLES = {
     "preflight": ("operations", "verdicts"),
     "journal": ("operations", "steps"),
 }
-ORDER = {
-    "entries": ["machine", "path"],
-    "groups": ["group_id"],
-    "members": ["group_id", "object_id", "entry_id"],
-    "operations": ["position"],
-    "edits": ["machine", "position"],
-    "verdicts": ["operation"],
-    "steps": ["sequence"],
+# What tells the rows of a table apart, where something does: a row that changes stays in
+# its section.
+KEYS = {
+    "entries": ("machine", "entry_id"),
+    "groups": ("group_id",),
+    "members": ("group_id", "object_id", "entry_id"),
+    "operations": ("position",),
+    "edits": ("machine", "position"),
+    "verdicts": ("operation",),
 }
 
 
@@ -97,7 +102,7 @@ def write(
     path_encoding: str = "bytes",
     replace: bool = False,
 ) -> Artifact:
-    """Write tables, digest what was written, then write the header."""
+    """Write tables, digest what was written, write the digests, then the header."""
     kind = OUTPUT_KIND[stage]
     unknown = set(tables) - set(TABLES[kind])
     if unknown:
@@ -106,11 +111,13 @@ def write(
     mode = "overwrite" if replace else "errorifexists"
     try:
         for name, frame in tables.items():
-            placed = frame.sortWithinPartitions(*ORDER[name]) if name in ORDER else frame
-            placed.write.mode(mode).parquet(f"{path}/{name}")
+            sections.placed(frame, KEYS.get(name, ())).write.mode(mode).parquet(f"{path}/{name}")
     except AnalysisException as problem:
         raise ArtifactError(f"{path} is taken; pass replace=True to replace it") from problem
-    written = {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+    written = {name: stored(spark, path, name).drop(sections.SECTION) for name in tables}
+    trees = {name: sections.tree(frame, KEYS.get(name, ())) for name, frame in written.items()}
+    for name, nodes in trees.items():
+        nodes.sortWithinPartitions("depth", "prefix").write.mode(mode).parquet(f"{path}/sections/{name}")
     digests = tuple(p.digest for p in parents)
     header = {
         "schema_version": schema.SCHEMA_VERSION,
@@ -123,7 +130,7 @@ def write(
         "merged": stage == "merge",
         "created_at": datetime.now(timezone.utc),
         "scope_digest": scope_digest or (parents[0].header["scope_digest"] if parents else None),
-        "content_digest": content_digest(written, digests, with_ids=True),
+        "content_digest": chained({name: sections.root(nodes) for name, nodes in trees.items()}, digests),
         "path_encoding": path_encoding,
     }
     row = [tuple(header[f] for f in schema.HEADER.fieldNames())]
@@ -131,6 +138,34 @@ def write(
     return Artifact(header, written)
 
 
+def stored(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table as it is stored, with its sections."""
+    return spark.read.parquet(f"{path}/{table}")
+
+
+def tree_of(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return spark.read.schema(sections.TREE).parquet(f"{path}/sections/{table}")
+
+
+def section_holds(spark: SparkSession, path: str, table: str, prefix: str) -> bool:
+    """Whether the rows of one section are those its digest was made of, nothing else
+    read. A prefix shorter than a section's names all sections below it."""
+    nodes = tree_of(spark, path, table)
+    depth = nodes.agg(F.max("depth")).first()[0] or 0
+    named = spark.createDataFrame([(prefix,)], "prefix string")
+    rows = sections.within(stored(spark, path, table), named).drop(sections.SECTION)
+    leaves = nodes.where((F.col("depth") == depth) & F.startswith("prefix", F.lit(prefix[:depth])))
+    return sections.same_leaves(leaves, sections.leaves(rows, KEYS.get(table, ()), depth), prefix)
+
+
+def differences(spark: SparkSession, one: str, two: str, table: str) -> DataFrame:
+    """(key columns, change) of rows that were added, removed or changed from one
+    artifact to another."""
+    return sections.differences(
+        stored(spark, one, table), stored(spark, two, table), KEYS[table], tree_of(spark, one, table), tree_of(spark, two, table)
+    )
+
+
 def read(spark: SparkSession, path: str, kind: str | None = None, verify: bool = True) -> Artifact:
     """Read an artifact: its version is judged before anything else, then its kind,
     then its content against the recorded digest."""
@@ -148,11 +183,13 @@ def read(spark: SparkSession, path: str, kind: str | None = None, verify: bool =
     tables = {}
     for name in TABLES[header["kind"]]:
         try:
-            tables[name] = spark.read.parquet(f"{path}/{name}")
+            tables[name] = stored(spark, path, name).drop(sections.SECTION)
         except AnalysisException:
             continue
-    if verify and content_digest(tables, tuple(header["parents"]), with_ids=True) != header["content_digest"]:
-        raise ArtifactError(f"{path} is not what its header says it is")
+    if verify:
+        roots = {name: sections.root(sections.tree(frame, KEYS.get(name, ()))) for name, frame in tables.items()}
+        if chained(roots, header["parents"]) != header["content_digest"]:
+            raise ArtifactError(f"{path} is not what its header says it is")
     return Artifact(header, tables)
 
 

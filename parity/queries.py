@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from filelens import schema
 from filelens.functions import classify, paths, sizes, wording
 from filelens.operators import compare, duplicates, ownership, scale, summaries, survey
 from filelens.plans import carry, edits, lineage, plan, preflight
-from filelens.sources import artifacts, journal, ndjson
+from filelens.sources import artifacts, datasource, journal, ndjson, sections, steplog
 from filelens.streaming import live_tally
 from parity import tables, views
 from parity.views import category, folder, name, parent, weight
@@ -989,6 +990,36 @@ def _(t: Given):
     return journal.tally(journal.priced(steps, combined_plan(t)), F.col("frees_bytes"))
 
 
+@query("log_states", """
+SELECT log, state, records, CASE WHEN state <> 'tampered' THEN times * n END AS steps,
+  CASE WHEN state <> 'tampered' THEN (times - 1) * carried END AS done
+FROM (VALUES ('finished', 'sealed', 4, 2), ('stopped', 'unsealed', 2, 1), ('torn', 'unsealed', 2, 1),
+    ('changed', 'tampered', 4, 2), ('shortened', 'tampered', 3, 1)) AS l(log, state, records, times),
+  (SELECT count(*) AS n, count(*) FILTER (reason IS NULL) AS carried FROM v_step) AS s""")
+def _(t: Given):
+    # Runs that finished, stopped, lost their writer, and logs that were changed later.
+    steps = journal.read_steps(t.spark, step_log(t))
+    first, last = steps.where("progress = 'intended'"), steps.where("progress <> 'intended'")
+    where = tables.place(t.spark, t.sf_dir, f"logs-{uuid.uuid4().hex}")
+    rows = []
+    for name in ("finished", "stopped", "torn", "changed", "shortened"):
+        log = steplog.append(t.spark, steplog.begin(t.spark, f"{where}/{name}", "plan"), first)
+        if name == "torn":
+            last.write.parquet(f"{log.path}/steps/000000002-lost")
+        elif name != "stopped":
+            log = steplog.seal(t.spark, steplog.append(t.spark, log, last))
+        if name == "changed":
+            first.limit(1).select(*schema.STEP.fieldNames()).write.mode("append").parquet(log.folders[0])
+        if name == "shortened":
+            record = t.spark._jvm.org.apache.hadoop.fs.Path(f"{log.path}/records/000000001")
+            record.getFileSystem(t.spark._jsc.hadoopConfiguration()).delete(record, False)
+        found = steplog.load(t.spark, log.path)
+        told = steplog.state(t.spark, found)
+        counts = found.steps(t.spark).agg(F.count(F.lit(1)), F.count_if(F.col("progress") == "done")).first()
+        rows.append((name, told, len(found.records), *(counts if told != "tampered" else (None, None))))
+    return t.spark.createDataFrame(rows, "log string, state string, records int, steps long, done long")
+
+
 @query("step_reasons", """
 SELECT CASE reason WHEN 'source_missing' THEN 'the file is no longer where the plan found it'
   WHEN 'source_changed' THEN 'the file changed after the plan was made'
@@ -1312,7 +1343,47 @@ def _(t: Given):
     return lineage.executability_audit(found, here)
 
 
-@query("artifact_digest", None)
+def told(value: str) -> str:
+    return f"coalesce(length(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def entry_facts(entry_id: str) -> str:
+    """A row of an inventory as the text its digest covers."""
+    return " || ".join([
+        f"'allocated_size=' || {told('allocated_size')}",
+        f"'cloud={{-' || {told('residency')} || '11:unspecified}}created=-'",
+        entry_id,
+        f"'file_id=' || CASE WHEN file_index IS NULL THEN '-' ELSE '{{' || {told('volume')} || {told('file_index')} || '}}' END",
+        f"'kind=' || {told('kind')} || 'link_count=1:1link_target=' || {told('link_target')}",
+        f"'logical_size=' || {told('logical_size')} || 'machine=' || {told('machine')}",
+        f"'modified=' || {told('modified_s * 1000000')} || 'path=' || {told('path')} || 'path_bytes=-'",
+    ])
+
+
+ENTRY_ID = f"'entry_id=' || {told('entry_id')}"
+UNREAD_FACTS = " || ".join(f"'{c}=' || {told(c)}" for c in ("detail", "machine", "path", "reason"))
+
+
+def section_tree(tag: str, hashed: str, per_section: int) -> str:
+    """The nodes of a section tree over rows (k, h), as common tables ending in ``tag``."""
+    depth = " ".join(f"WHEN count(*) <= {per_section * 16**d} THEN {d}" for d in range(4))
+    text = f"""{tag}_c AS MATERIALIZED (SELECT k, h, count(*) AS n FROM ({hashed}) GROUP BY ALL),
+{tag}_d AS (SELECT CASE {depth} ELSE 4 END AS depth FROM {tag}_c),
+{tag}_4 AS MATERIALIZED (SELECT depth, substr(k, 1, depth) AS prefix, CAST(sum(n) AS BIGINT) AS rows,
+  sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS digest FROM {tag}_c, {tag}_d GROUP BY ALL)"""
+    for up in (3, 2, 1, 0):
+        name = tag if up == 0 else f"{tag}_{up}"
+        text += f""",
+{name} AS MATERIALIZED (SELECT * FROM {tag}_{up + 1} UNION ALL SELECT {up}, substr(prefix, 1, {up}) AS above, CAST(sum(rows) AS BIGINT),
+  sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix || ':' || digest)) FROM {tag}_{up + 1} WHERE depth = {up + 1} GROUP BY above)"""
+    return text
+
+
+@query("artifact_digest", f"""
+, {section_tree("e", f"SELECT h AS k, h FROM (SELECT sha256({entry_facts("''")}) AS h FROM v_entry)", 4096)},
+{section_tree("u", f"SELECT h AS k, h FROM (SELECT sha256({UNREAD_FACTS}) AS h FROM v_unread)", 4096)}
+SELECT e.rows AS entries, sha256('entries:' || e.rows || ':' || e.digest || '|unread:' || u.rows || ':' || u.digest || '|')
+  AS content_digest, true AS order_independent FROM e, u WHERE e.depth = 0 AND u.depth = 0""")
 def _(t: Given):
     named = {"entries": t.entries, "unread": t.unread}
     shuffled = {"entries": t.entries.repartition(5), "unread": t.unread.repartition(3, "path")}
@@ -1324,6 +1395,55 @@ def _(t: Given):
     )
 
 
+@query("entry_sections", f"""
+, {section_tree("e", f"SELECT sha256({ENTRY_ID} || 'machine=' || {told('machine')}) AS k, sha256({entry_facts(ENTRY_ID)}) AS h FROM v_entry", 16)}
+SELECT depth, prefix, rows, digest FROM e""")
+def _(t: Given):
+    return sections.tree(t.entries, artifacts.KEYS["entries"], per_section=16)
+
+
+def inventories(t: Given) -> tuple[str, str]:
+    """The inventory and the later snapshot as artifacts."""
+    where = tables.place(t.spark, t.sf_dir, "inventories")
+    if where not in _logged:
+        for name, frame in (("before", t.entries), ("after", t.observed.select(*schema.ENTRY.fieldNames()))):
+            artifacts.write(t.spark, f"{where}/{name}", "scan", {"entries": frame, "unread": t.unread}, tables.MACHINES[:1], replace=True)
+        _logged.add(where)
+    return f"{where}/before", f"{where}/after"
+
+
+@query("artifact_differences", """
+SELECT machine, entry_id, CASE WHEN quality = 0 THEN 'removed' ELSE 'changed' END AS change
+FROM v_entry JOIN labels ON doc_id = entry_id WHERE quality = 0 OR toxic <> 0""")
+def _(t: Given):
+    return artifacts.differences(t.spark, *inventories(t), "entries")
+
+
+@query("artifact_reload", """
+SELECT 'entries' AS stored, kind, count(*) AS records, CAST(sum(logical_size) AS BIGINT) AS bytes,
+  count(modified_s) AS dated, count(file_index) AS filed, min(path) AS first_path FROM v_entry GROUP BY kind
+UNION ALL SELECT 'unread', reason, count(*), NULL, 0, 0, min(path) FROM v_unread GROUP BY reason""")
+def _(t: Given):
+    # Written and read through the data source, in two additions to one table.
+    t.spark.dataSource.register(datasource.StoredTable)
+    where = tables.place(t.spark, t.sf_dir, "reload")
+    odd = F.col("entry_id") % 2 == 1
+    t.entries.where(odd).write.format("filelens").mode("overwrite").save(f"{where}/entries")
+    t.entries.where(~odd).write.format("filelens").mode("append").save(f"{where}/entries")
+    t.unread.write.format("filelens").mode("overwrite").save(f"{where}/unread")
+    entries, places = (t.spark.read.format("filelens").load(f"{where}/{name}") for name in ("entries", "unread"))
+    files = entries.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("logical_size").alias("bytes"), F.count("modified").alias("dated"),
+        F.count("file_id").alias("filed"), F.min("path").alias("first_path"),
+    )
+    none = F.lit(0).cast("long")
+    unread = places.groupBy(F.col("reason").alias("kind")).agg(
+        F.count(F.lit(1)).alias("records"), F.lit(None).cast("long").alias("bytes"), none.alias("dated"),
+        none.alias("filed"), F.min("path").alias("first_path"),
+    )
+    return files.withColumn("stored", F.lit("entries")).unionByName(unread.withColumn("stored", F.lit("unread")))
+
+
 @query("analysis_artifact", None)
 def _(t: Given):
     found = t.analysis
