@@ -9,15 +9,16 @@ from functools import reduce
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens import schema
 from filelens.functions import classify
 from filelens.functions import content as digests
-from filelens.operators.scale import number_rows
+from filelens.operators.scale import look_up, number_rows
 
 CORRUPT = "_corrupt"
+ID_BITS = 40  # of an id on one machine; machines are numbered above
 
 
 @dataclass
@@ -43,7 +44,8 @@ def read_inventory(
     ``unread`` names the ledgers that belong to Parquet inputs. Lines of JSON or of an
     export ('ndjson') that do not parse become unread places instead of vanishing.
     With ``renumber`` entries get ids of their own, in the order of machine and path.
-    Ids must not repeat on a machine; ``checked`` refuses those that do.
+    Ids must not repeat; ``checked`` refuses those that do, and ``keyed`` makes ids that
+    repeat only from machine to machine unique, in entries and in their content alike.
     """
     if not paths:
         raise ValueError("an inventory needs at least one input")
@@ -80,13 +82,38 @@ def numbered(entries: DataFrame) -> DataFrame:
 
 
 def checked(entries: DataFrame) -> DataFrame:
-    """The same entries; raises if an id repeats on a machine."""
-    repeated = entries.groupBy("machine", "entry_id").count().where("count > 1")
+    """The same entries; raises if an id repeats, on one machine or on two: content and
+    analyses are joined by it."""
+    repeated = entries.groupBy("entry_id").count().where("count > 1")
     if not repeated.isEmpty():
-        raise ValueError("entry ids repeat on a machine; read with renumber=True")
+        raise ValueError("entry ids repeat; read with renumber=True, or make them unique with keyed()")
     return entries
 
 
+def machine_numbers(entries: DataFrame) -> DataFrame:
+    """(machine, number), numbers from zero in the order of names."""
+    return number_rows(entries.select("machine").distinct(), [F.col("machine")], "_number")
+
+
+def keyed(frame: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows with (machine, entry_id) whose ids are unique over all machines: the machine's
+    number in the upper bits, the id it had there below. Made where the row is read, from
+    a table with a row for each machine, so neither entries nor content move for it; an id
+    that does not fit, and a machine without a number, are errors."""
+    low = F.lit((1 << ID_BITS) - 1)
+    fits = F.col("_number").isNotNull() & (F.col("entry_id").between(F.lit(0), low)) & (F.col("_number") < (1 << (63 - ID_BITS)))
+    key = F.shiftleft(F.col("_number"), ID_BITS) + F.col("entry_id")
+    told = F.concat(F.lit("no key for entry "), F.col("entry_id").cast("string"), F.lit(" of "), F.col("machine"))
+    joined = look_up(frame, numbers, ["machine"], "entry_id")
+    made = F.when(fits, key).otherwise(F.raise_error(told).cast("long")).alias("entry_id")
+    return joined.select(*[made if c == "entry_id" else F.col(f"`{c}`") for c in frame.columns])
+
+
+def source_id(key: Column) -> Column:
+    """The id that a keyed entry had on its machine."""
+    return key.bitwiseAND(F.lit((1 << ID_BITS) - 1))
+
+
 def write_content(content: DataFrame, table: str, buckets: int) -> None:
     """A content table bucketed by ``entry_id``: what is wanted of it meets it without
     moving content."""

@@ -12,7 +12,8 @@ from filelens import schema
 from filelens.functions import classify, paths, sizes, wording
 from filelens.operators import compare, duplicates, ownership, scale, summaries, survey
 from filelens.plans import carry, edits, lineage, plan, preflight
-from filelens.sources import artifacts, datasource, journal, ndjson, sections, steplog
+from filelens.sources import artifacts, datasource, inventory, journal, ndjson, sections, steplog
+from filelens.session import pin
 from filelens.streaming import live_tally
 from parity import tables, views
 from parity.views import category, folder, name, parent, weight
@@ -136,6 +137,26 @@ def exact_groups(t: Given):
     )
 
 
+@query("analyze_two_machines", """
+SELECT logical_size, digest, objects, CAST(names AS BIGINT) AS names, m.on_mac, m.on_windows
+FROM v_group g JOIN (SELECT group_id, count(*) FILTER (machine = 'mac') AS on_mac, count(*) FILTER (machine = 'windows') AS on_windows
+  FROM v_exact_name GROUP BY group_id) m ON m.group_id = g.group_id WHERE tier = 0""")
+def _(t: Given):
+    # Both machines number their files from zero, so ids are equal on the two.
+    own = F.shiftright("entry_id", 1)
+    files = t.entries.where("kind = 'file'").withColumn("entry_id", own)
+    machine = F.when(F.pmod("entry_id", F.lit(2)) == 0, F.lit("mac")).otherwise(F.lit("windows"))
+    content = t.content.select(machine.alias("machine"), own.alias("entry_id"), "content")
+    numbers = pin(inventory.machine_numbers(files))
+    keyed = inventory.checked(pin(inventory.keyed(files, numbers)))
+    found = duplicates.analyze(keyed, inventory.keyed(content, numbers).select("entry_id", "content"))
+    on = lambda m: F.count_if(F.col("machine") == m)
+    members = found.members.groupBy("group_id").agg(on("mac").alias("on_mac"), on("windows").alias("on_windows"))
+    return found.groups.where("certainty = 'exact'").join(members, "group_id").select(
+        "logical_size", "digest", "objects", "names", "on_mac", "on_windows"
+    )
+
+
 @query("candidate_groups", """
 SELECT logical_size, objects, settled_of_same_size, download_objects, refused_objects,
   CAST(bytes_to_settle AS BIGINT) AS bytes_to_settle FROM v_group WHERE tier = 1""")
