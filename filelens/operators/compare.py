@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.operators import duplicates, scale
+from filelens.session import pin
+from filelens.sources.sections import SECTION
 
 
 @dataclass
@@ -43,57 +45,105 @@ def _stack(frames: Sequence[DataFrame | None]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, given) if given else None
 
 
-def merge(inputs: Sequence[Recorded]) -> Merged:
-    """At least two analyses of single machines with distinct labels. Entry ids
-    are shifted so that they stay unique and keep the order of the inputs."""
-    if len(inputs) < 2:
+SOURCE = "label string, ordinal long, first_entry long, entry_count long, id_span long"
+FILE, ORDINAL = "_file", "_ordinal"
+
+
+def _check_labels(labels: Sequence[str], merged: bool) -> None:
+    if len(labels) < 2:
         raise ValueError("a comparison needs at least two analyses")
-    if any(i.merged for i in inputs):
+    if merged:
         raise ValueError("a merged analysis cannot be merged again")
-    labels = [i.label for i in inputs]
     if len(set(labels)) < len(labels):
         raise ValueError("every analysis needs a label of its own")
+
+
+def _sources(named: DataFrame, entries: DataFrame) -> DataFrame:
+    """A row for each input: how many entries it has, and where its ids begin once they
+    follow on from those of the inputs before. One pass over all entries; ``named`` has
+    (label, ordinal) of every input, empty ones too."""
+    sizes = entries.groupBy(F.col(ORDINAL).alias("ordinal")).agg(
+        F.count(F.lit(1)).alias("entry_count"), (F.max("entry_id") + 1).alias("id_span")
+    )
+    zero = F.lit(0).cast("long")
+    known = named.join(sizes, "ordinal", "left").select(
+        "label", F.col("ordinal").cast("long").alias("ordinal"), F.coalesce("entry_count", zero).alias("entry_count"),
+        F.coalesce("id_span", zero).alias("id_span"),
+    )
+    before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)  # a row for each input
+    first = F.coalesce(F.sum("id_span").over(before), zero).alias("first_entry")
+    return pin(known.select("label", "ordinal", first, "entry_count", "id_span"))
+
+
+def _moved(frame: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows under their input's label, ids after those of the inputs before."""
+    facts = source.select(F.col("ordinal").alias(ORDINAL), "label", "first_entry")
+    given = {"machine": F.col("label"), "entry_id": F.col("entry_id") + F.col("first_entry")}
+    columns = [c for c in frame.columns if c != ORDINAL]
+    joined = scale.look_up(frame, facts, [ORDINAL], columns[0])
+    return joined.select(*[given.get(c, F.col(c)).alias(c) for c in columns])
+
+
+def merge(inputs: Sequence[Recorded]) -> Merged:
+    """At least two analyses of single machines with distinct labels. Entry ids
+    are shifted so that they stay unique and keep the order of the inputs."""
+    _check_labels([i.label for i in inputs], any(i.merged for i in inputs))
     spark = inputs[0].entries.sparkSession
-    sources, entries, settled, first = [], [], [], 0
-    for ordinal, item in enumerate(inputs):
-        size = item.entries.agg(
-            F.count(F.lit(1)), F.coalesce(F.max("entry_id") + 1, F.lit(0))
-        ).first()
-        sources.append((item.label, ordinal, first, size[0], size[1]))
-        label = F.lit(item.label).alias("machine")
-        shifted = (F.col("entry_id") + first).alias("entry_id")
-        move = lambda frame: frame.select(
-            *[
-                label if c == "machine" else shifted if c == "entry_id" else F.col(c)  # noqa: B023
-                for c in frame.columns
-            ]
-        )
-        entries.append(move(item.entries))
-        settled.append(move(item.settled))
-        first += size[1]
-    table = spark.createDataFrame(
-        sources, "label string, ordinal long, first_entry long, entry_count long, id_span long"
+    named = spark.createDataFrame([(i.label, n) for n, i in enumerate(inputs)], "label string, ordinal long")
+    tagged = lambda part: _stack(
+        [getattr(i, part).withColumn(ORDINAL, F.lit(n).cast("long")) for n, i in enumerate(inputs)]
     )
+    entries = tagged("entries")
+    source = _sources(named, entries)
     return Merged(
-        table,
-        _stack(entries),
-        _stack(settled),
+        source,
+        _moved(entries, source),
+        _moved(tagged("settled"), source),
         _stack([i.unread for i in inputs]),
         _stack([i.roots for i in inputs]),
         _stack([i.links for i in inputs]),
     )
 
 
+def merge_stored(spark: SparkSession, folders: Mapping[str, str]) -> Merged:
+    """``merge`` of stored analyses in the order of ``folders``: label -> folder that holds
+    ``entries`` and ``settled``, or a place with ``{table}`` in it. Each table is one scan
+    over all folders, and whose a row is follows from its file, so neither plans nor jobs
+    grow with the number of inputs."""
+    _check_labels(list(folders), False)
+    plain = lambda path: F.regexp_replace(path, "^[a-zA-Z0-9]+:/+", "/")
+    inside = [folder if "{table}" in folder else f"{folder.rstrip('/')}/{{table}}" for folder in folders.values()]
+    named = spark.createDataFrame(list(zip(folders, range(len(inside)), inside, strict=True)), "label string, ordinal long, place string")
+
+    def scan(table: str) -> DataFrame:
+        frame = spark.read.parquet(*[place.format(table=table) for place in inside])
+        columns = [c for c in frame.columns if c != SECTION]
+        where = F.regexp_replace(plain(F.col("_metadata.file_path")), "/[^/]*$", "").alias(FILE)
+        place = plain(F.replace(F.col("place"), F.lit("{table}"), F.lit(table)))
+        places = named.select(place.alias(FILE), F.col("ordinal").alias(ORDINAL))
+        return scale.look_up(frame.select(*columns, where), places, [FILE], "entry_id").drop(FILE)
+
+    entries = scan("entries")
+    source = _sources(named.drop("place"), entries)
+    return Merged(source, _moved(entries, source), _moved(scan("settled"), source), None, None, None)
+
+
 def source_of(entry_ids: DataFrame, source: DataFrame) -> DataFrame:
-    """Label of each entry id by its source's range; sources are the inputs of one
-    merge call, so the range table has one row per argument."""
-    spans = source.orderBy("first_entry").collect()
-    label = reduce(
-        lambda below, s: F.when(F.col("entry_id") >= s["first_entry"], s["label"]).otherwise(below),
-        spans,
-        F.lit(None).cast("string"),
-    )
-    return entry_ids.withColumn("label", label)
+    """Label of each entry id by its source's range; null outside all. Ranges are laid
+    into bins of equal width, a few for each source, and ids are joined by their bin, so
+    the plan is the same for any number of sources."""
+    whole = source.agg(F.max(F.col("first_entry") + F.col("id_span")), F.count(F.lit(1))).first()
+    width = max(1, -(-(whole[0] or 0) // max(1, 4 * whole[1])))
+    bin_of = lambda c: F.floor(c / F.lit(width)).cast("long")
+    end = F.col("first_entry") + F.col("id_span")
+    ranges = source.where("id_span > 0").select(
+        "label", F.col("first_entry").alias("_first"), end.alias("_end"),
+        F.explode(F.sequence(bin_of(F.col("first_entry")), bin_of(end - 1))).alias("_bin"),
+    )
+    ids = entry_ids.withColumn("_at", bin_of(F.col("entry_id")))
+    inside = (F.col("_at") == F.col("_bin")) & (F.col("entry_id") >= F.col("_first")) & (F.col("entry_id") < F.col("_end"))
+    ranges = F.broadcast(ranges) if scale.is_small(ranges) else ranges
+    return ids.join(ranges, inside, "left").select(*entry_ids.columns, "label")
 
 
 def coverage(entries: DataFrame, settled: DataFrame) -> DataFrame:

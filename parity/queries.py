@@ -439,6 +439,30 @@ def _(t: Given):
     )
 
 
+@query("merged_many", """
+SELECT e.label, entries, coalesce(settled, 0) AS settled FROM (SELECT string_split(path, '/')[3] AS label, count(*) AS entries
+    FROM v_file GROUP BY 1) e
+  LEFT JOIN (SELECT string_split(path, '/')[3] AS label, count(*) AS settled FROM v_settled s JOIN v_file f ON f.entry_id = s.entry_id
+    GROUP BY 1) s ON s.label = e.label""")
+def _(t: Given):
+    # Every top folder as the analysis of a machine of its own, stored, then merged.
+    base = tables.place(t.spark, t.sf_dir, "many")
+    owner = F.element_at(F.split("path", "/"), 3)
+    if base not in _logged:
+        files = t.entries.where("kind = 'file'").withColumn("owner", owner)
+        marks = t.settled.join(files.select("entry_id", "owner"), "entry_id")
+        for name, frame in (("entries", files), ("settled", marks)):
+            frame.repartition("owner").write.mode("overwrite").partitionBy("owner").parquet(f"{base}/{name}")
+        _logged.add(base)
+    labels = [r.owner for r in t.spark.read.parquet(f"{base}/settled").select("owner").distinct().orderBy("owner").collect()]  # top folders
+    merged = compare.merge_stored(t.spark, {label: f"{base}/{{table}}/owner={label}" for label in labels})
+    held = compare.source_of(merged.entries.select("entry_id"), merged.source).groupBy("label")
+    marks = merged.settled.groupBy(F.col("machine").alias("label")).agg(F.count(F.lit(1)).alias("settled"))
+    return held.agg(F.count(F.lit(1)).alias("entries")).join(marks, "label", "left").select(
+        "label", "entries", F.coalesce("settled", F.lit(0).cast("long")).alias("settled")
+    )
+
+
 @query("merged_unread", "SELECT machine, reason, count(*) AS places FROM v_unread GROUP BY 1, 2")
 def _(t: Given):
     merged = compare.merge(by_machine(t))

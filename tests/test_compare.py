@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import shutil
+import tempfile
+
 import pytest
 
 from filelens import schema
@@ -144,3 +147,23 @@ def test_published_folders_count_once(spark, frame):
     assert rows(ownership.windows_roots(e, homes, variables), "path", "account") == [
         ("/U/Dropbox", None), ("/U/OneDrive", "personal")
     ]
+
+
+def test_stored_analyses_merge_in_one_scan_whatever_their_number(spark, frame):
+    place = tempfile.mkdtemp(prefix="spark-")
+    e = frame([entry("/a", 0), entry("/b", 1), entry("/c", 7)])
+    e.coalesce(1).write.parquet(f"{place}/m0/entries")
+    spark.createDataFrame([("mac", 1, "content", "f")], schema.SETTLED).coalesce(1).write.parquet(f"{place}/m0/settled")
+    for n in range(1, 120):
+        shutil.copytree(f"{place}/m0", f"{place}/m{n}")
+    folders = {f"machine{n}": f"{place}/m{n}" for n in range(120)}
+    merged = compare.merge_stored(spark, folders)
+    assert rows(merged.source, "label", "first_entry", "entry_count")[:2] == [("machine0", 0, 3), ("machine1", 8, 3)]
+    labelled = compare.source_of(merged.entries, merged.source).where("machine = label")
+    assert labelled.count() == 360 == merged.entries.select("entry_id").distinct().count()
+    assert rows(merged.settled.where("machine = 'machine5'"), "entry_id") == [(41,)]
+    plan = lambda m: m.entries._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+    few = compare.merge_stored(spark, dict(list(folders.items())[:2]))
+    assert plan(few) == plan(merged)
+    outside = spark.createDataFrame([(-1,), (120 * 8,), (2,), (7,)], "entry_id long")
+    assert {r.entry_id: r.label for r in compare.source_of(outside, merged.source).collect()} == {-1: None, 960: None, 2: "machine0", 7: "machine0"}
