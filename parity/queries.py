@@ -450,17 +450,16 @@ def _(t: Given):
     owner = F.element_at(F.split("path", "/"), 3)
     if base not in _logged:
         files = t.entries.where("kind = 'file'").withColumn("owner", owner)
-        marks = t.settled.join(files.select("entry_id", "owner"), "entry_id")
+        # A file without a fingerprint has an empty row, so that every folder has the table.
+        marks = files.select("machine", "entry_id", "owner").join(t.settled.drop("machine"), "entry_id", "left")
         for name, frame in (("entries", files), ("settled", marks)):
             frame.repartition("owner").write.mode("overwrite").partitionBy("owner").parquet(f"{base}/{name}")
         _logged.add(base)
-    labels = [r.owner for r in t.spark.read.parquet(f"{base}/settled").select("owner").distinct().orderBy("owner").collect()]  # top folders
+    labels = [r.owner for r in t.spark.read.parquet(f"{base}/entries").select("owner").distinct().orderBy("owner").collect()]  # top folders
     merged = compare.merge_stored(t.spark, {label: f"{base}/{{table}}/owner={label}" for label in labels})
     held = compare.source_of(merged.entries.select("entry_id"), merged.source).groupBy("label")
-    marks = merged.settled.groupBy(F.col("machine").alias("label")).agg(F.count(F.lit(1)).alias("settled"))
-    return held.agg(F.count(F.lit(1)).alias("entries")).join(marks, "label", "left").select(
-        "label", "entries", F.coalesce("settled", F.lit(0).cast("long")).alias("settled")
-    )
+    marks = merged.settled.groupBy(F.col("machine").alias("label")).agg(F.count("kind").alias("settled"))
+    return held.agg(F.count(F.lit(1)).alias("entries")).join(marks, "label").select("label", "entries", "settled")
 
 
 @query("merged_unread", "SELECT machine, reason, count(*) AS places FROM v_unread GROUP BY 1, 2")
