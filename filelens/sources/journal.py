@@ -1,4 +1,5 @@
-"""The step log: append-only Parquet, a later record of a step replacing the earlier."""
+"""The steps of a run: append-only Parquet, a later record of a step replacing the earlier.
+``steplog`` keeps them with a seal."""
 
 from __future__ import annotations
 
@@ -8,9 +9,6 @@ from pyspark.sql import functions as F
 from filelens import schema
 from filelens.functions import wording
 
-# Fixed value: the digest of a log that was opened and not yet sealed.
-UNSEALED = "0" * 64
-
 
 def intended(operations: DataFrame) -> DataFrame:
     """The record of every step before it is attempted."""
