@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filelens.operators import scale
+from filelens.plans import preflight
 from tests.conftest import rows
 
 
@@ -63,3 +64,17 @@ def test_look_up_is_the_same_small_or_large(hot):
     small = scale.look_up(hot, one, ["key"], "id")
     large = scale.look_up(hot, one, ["key"], "id", limit=1)
     assert rows(small, "id", "m") == rows(large, "id", "m")
+
+
+def test_looking_at_many_places_broadcasts_none_of_them(spark):
+    """Sides of a few MB would pass through the driver, once for every join."""
+    observed = spark.range(100_000).selectExpr(
+        "'mac' machine", "concat('/home/', repeat('x', 40), id) path", "id entry_id", "'file' kind", "id logical_size",
+        "timestamp_seconds(id) modified", "named_struct('residency', 'local') cloud",
+    )
+    moves = observed.selectExpr("entry_id position", "machine", "path subject_path")
+    seen = preflight.with_looks(moves, observed, {"subject_path": "source"}, "position", slices=None)
+    found = seen.where("source.entry_id = position")
+    assert len(found.collect()) == 100_000
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and "BroadcastExchange" not in final
