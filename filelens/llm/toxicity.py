@@ -17,6 +17,7 @@ at all every score is that of a clean text. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,28 +51,68 @@ _LETTER, APART = r"[^\W\d_]", r"[\s.\-_/]"
 SET_APART = re.compile(rf"(?<![^\W_])(?:{_LETTER}|[{_SIGNS}])(?:{APART}++(?:{_LETTER}|[{_SIGNS}]))+(?![^\W_])")
 GAP, TOGETHER = re.compile(APART), re.compile(r"[^\s.\-_/]{2}")
 SIGNED = re.compile(rf"[{_SIGNS}]")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
 LETTER = re.compile(_LETTER)
 # Figures with at most one sign on each side, and signs of which none is used in words.
 FIGURES = re.compile(r"[+\-(<$€|*@!#~]?\d*(?:[.,:/+\-*|]\d+)*[)%€$!+|*]?|[^@$€\d]+")
 
 
-def disguised(text: str) -> list[str]:
+LETTERS, ALNUM, SIGN, GAPS = 1, 2, 4, 8
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What every code point is, by the patterns above: a sum of kinds."""
+    everything = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    kinds = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((LETTERS, _LETTER), (ALNUM, r"[^\W_]"), (SIGN, rf"[{_SIGNS}]"), (GAPS, APART)):
+        for run in re.finditer(f"{pattern}+", everything):
+            kinds[run.start() : run.end()] |= kind
+    return kinds
+
+
+def kinds_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a text and what each is."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, _kinds()[points]
+
+
+def words_of(points: np.ndarray, kinds: np.ndarray) -> set[str]:
+    """The runs of letters, as WORD finds them; in blocks that end where a word does."""
+    found: set[str] = set()
+    at, inside = 0, kinds & LETTERS != 0
+    while at < len(points):
+        end = min(at + tx.BLOCK, len(points))
+        while end < len(points) and inside[end]:
+            end += 1
+        found.update(np.where(inside[at:end], points[at:end], np.uint32(32)).tobytes().decode("utf-32-le").split())
+        at = end
+    return found
+
+
+def disguised(text: str, points: np.ndarray | None = None, kinds: np.ndarray | None = None) -> list[str]:
     """Parts of a lower-case text that may be other words: letters and look-alikes set
     apart, whatever else has a look-alike, and words that repeat a letter. Only what has
     no letter and is written as figures or punctuation are is left out."""
-    found = [m[0] for m in SET_APART.finditer(text) if LETTER.search(m[0]) or "@" in m[0] or "$" in m[0]]
-    if SIGNED.search(text):
+    if kinds is None:
+        points, kinds = kinds_of(text)
+    found, end = [], 0
+    for start in _apart_from(kinds):
+        if start >= end and (match := SET_APART.match(text, start)):
+            end = match.end()
+            if LETTER.search(match[0]) or "@" in match[0] or "$" in match[0]:
+                found.append(match[0])
+    if (kinds & SIGN).any():
         for word in text.split():
             if SIGNED.search(word):
                 word = word.lstrip(".,;:?\"')[]").rstrip("!.,;:?\"'()[]")
                 if len(word) > 1 and SIGNED.search(word) and (LETTER.search(word) or not FIGURES.fullmatch(word)):
                     found.append(word)
     end = 0
-    for match in REPEATED.finditer(text):
-        if match.start() < end:
+    same = points[1:] == points[:-1]
+    for start in np.flatnonzero(same[1:] & same[:-1] & (kinds[:-2] & LETTERS != 0)).tolist():  # a letter thrice
+        if start < end:
             continue
-        start, end = match.start(), match.end()
+        end = start + 3
         while start and text[start - 1].isalpha():
             start -= 1
         while end < len(text) and text[end].isalpha():
@@ -80,18 +121,23 @@ def disguised(text: str) -> list[str]:
     return found
 
 
+def _apart_from(kinds: np.ndarray) -> list[int]:
+    """Where SET_APART may begin: a letter or sign that begins a word and has a gap behind it."""
+    begins = (kinds[:-1] & (LETTERS | SIGN) != 0) & (kinds[1:] & GAPS != 0)
+    begins[1:] &= kinds[:-2] & ALNUM == 0
+    return np.flatnonzero(begins).tolist()
+
+
 SYMBOLS = 64  # none, a-z, the Latin letters from ß on, any other letter
-_CODES = np.zeros(0x10000, np.uint8)
+_CODES = np.zeros(0x101, np.int64)
 _CODES[97:123] = np.arange(1, 27)
 _CODES[0xDF:0x100] = np.arange(27, 60)
 _CODES[0xF7] = 0
+_CODES[0x100] = 60  # and all beyond, letters or not: what follows them is rarely asked for
 
 
 def _symbols(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _CODES[np.minimum(points, 0xFFFF)].astype(np.int64)
-    codes[points >= 0x100] = 60  # letters or not: what follows them is rarely asked for
-    return codes
+    return _CODES.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
 
 
 @cache
@@ -156,12 +202,14 @@ def restore(token: str, model: list[float], slack: float, itself: bool = True) -
             ways += [(" ", 0, -0.05), ("", 0, -0.05 if apart else -1.5)]
         after: dict[int, tuple[float, tuple | None]] = {}
         for state, (score, made) in states.items():
+            behind, last = state * SYMBOLS, (state % SYMBOLS) * SYMBOLS
             for letter, symbol, cost in ways:
                 if letter:
-                    to, value = (state % SYMBOLS) * SYMBOLS + symbol, score + cost + model[state * SYMBOLS + symbol]
+                    to, value = last + symbol, score + cost + model[behind + symbol]
                 else:
                     to, value = state, score + cost
-                if to not in after or value > after[to][0]:
+                held = after.get(to)
+                if held is None or value > held[0]:
                     after[to] = (value, (made, letter) if letter else made)
         if len(after) > 16:
             least = max(score for score, _ in after.values()) - slack
@@ -184,8 +232,9 @@ class Reader:
 
     def words(self, text: str | None) -> set[str]:
         text = (text or "").lower()
-        found = set(WORD.findall(text))
-        for token in disguised(text):
+        points, kinds = kinds_of(text)
+        found = words_of(points, kinds)
+        for token in disguised(text, points, kinds):
             made = self.memo.get(token)
             if made is None:
                 made = restore(token, self.model, self.slack)
@@ -206,9 +255,12 @@ class Reader:
 # --- words and their weights --------------------------------------------------------
 
 
+STEMS = (4, 5, 6)  # characters of the beginnings
+
+
 def features(word: str) -> set[str]:
     """A word and its beginnings, which carry stems."""
-    return {word, *("^" + word[:n] for n in (4, 5, 6) if len(word) >= n)}
+    return {word, *("^" + word[:n] for n in STEMS if len(word) >= n)}
 
 
 def hashed(feature: str) -> int:
@@ -245,29 +297,42 @@ def _supports(texts: DataFrame, characters: np.ndarray, among: set[int] | None)
     return rows.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("support"))
 
 
-def measures(words: set[str], weigh) -> tuple[float, float, float]:
-    """Largest weight, how many words weigh much, their sum; all damped."""
-    heavy = [w for w in map(weigh, words) if w >= LIKELY]
-    return (max(heavy, default=0.0), float(np.log1p(len(heavy))), float(np.log1p(sum(heavy))))
-
-
 class Scorer:
+    """Measures texts; remembers which words it has weighed and what the heavy ones weigh."""
+
     def __init__(self, model: Model):
-        self.model, self.reader, self.memo = model, Reader(model.characters), {}
+        self.model, self.reader = model, Reader(model.characters)
+        self.weighed: set[str] = set()
+        self.heavy: dict[str, float] = {}
 
     def weigh(self, word: str) -> float:
-        if word not in self.memo:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[word] = max(self.model.weights.get(hashed(f), 0.0) for f in features(word))
-        return self.memo[word]
+        """The largest weight of the features of a word."""
+        most = self.model.weights.get(hashed(word), 0.0)
+        for n in STEMS:
+            if len(word) < n:
+                break
+            most = max(most, self.model.weights.get(hashed("^" + word[:n]), 0.0))
+        return most
 
     def forget(self) -> None:
-        self.memo.clear()
+        self.weighed.clear()
+        self.heavy.clear()
         self.reader.memo.clear()
 
     def measures(self, text: str | None) -> tuple[float, float, float]:
-        return measures(self.reader.words(text), self.weigh)
+        """Largest weight, how many words weigh much, their sum; all damped."""
+        words = self.reader.words(text)
+        if len(self.weighed) > MEMO:
+            self.weighed.clear()
+            self.heavy.clear()
+        new = words - self.weighed
+        for word in new:
+            weight = self.weigh(word)
+            if weight >= LIKELY:
+                self.heavy[word] = weight
+        self.weighed |= new
+        heavy = [self.heavy[word] for word in words if word in self.heavy]
+        return (max(heavy, default=0.0), float(np.log1p(len(heavy))), float(np.log1p(math.fsum(heavy))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -163,3 +164,29 @@ def test_texts_of_numerals_have_no_language(spark):
     odd = spark.createDataFrame([(1, "½"), (2, "²³ Ⅷ 12"), (3, "_"), (4, "é")], "doc_id long, text string")
     found = {r.doc_id: r.lang_pred for r in language.predict(odd, language.fit(docs)).collect()}
     assert [found[i] == "und" for i in (1, 2, 3, 4)] == [True, True, True, False]
+
+
+def test_disguised_parts_are_found_where_the_patterns_find_them():
+    """Code points are told apart by a table; only a letter or sign that stands alone is tried."""
+    prose = "there is a word or two set apart, and nothing else here"
+    assert len(toxicity._apart_from(toxicity.kinds_of(prose)[1])) == 1
+    signs = list("aabb\u00e9 \u3000.-_/$@*10392|\u00df\u00b2\u00b2\u00aa\ufb01\u4e2d\u0661\U0001d4d0\U0001f600\ud800,;!\t\n\u20ac(<")
+    chance = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(c * chance.choice((1, 1, 3)) for c in chance.choices(signs, k=chance.randrange(30))).lower()
+        points, kinds = toxicity.kinds_of(text)
+        assert toxicity.words_of(points, kinds) == set(toxicity.WORD.findall(text))
+        apart = [m[0] for m in toxicity.SET_APART.finditer(text)]
+        apart = [part for part in apart if toxicity.LETTER.search(part) or "@" in part or "$" in part]
+        assert toxicity.disguised(text)[: len(apart)] == apart
+    assert toxicity.words_of(*toxicity.kinds_of("ab " * 400_000 + "c" * 2_000_000)) == {"ab", "c" * 2_000_000}
+
+
+def test_a_word_is_weighed_once():
+    heavy = toxicity.hashed("^vill")
+    scorer = toxicity.Scorer(toxicity.Model(np.zeros((toxicity.SYMBOLS,) * 3), {heavy: 3.0}, np.zeros(4)))
+    asked, weigh = [], scorer.weigh
+    scorer.weigh = lambda word: asked.append(word) or weigh(word)
+    first = scorer.measures("a villain and a village")
+    assert first == scorer.measures("a village and a villain") == (3.0, np.log1p(2), np.log1p(6.0))
+    assert sorted(asked) == ["a", "and", "village", "villain"]
