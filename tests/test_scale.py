@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filelens.operators import scale
-from filelens.plans import preflight
+from filelens.plans import carry, preflight
 from tests.conftest import rows
 
 
@@ -78,3 +78,16 @@ def test_looking_at_many_places_broadcasts_none_of_them(spark):
     assert len(found.collect()) == 100_000
     final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "SortMergeJoin" in final and "BroadcastExchange" not in final
+
+
+def test_looking_again_before_a_run_broadcasts_no_places(spark):
+    """The look that a run takes at every source, which its steps and their reversal follow."""
+    observed = spark.range(100_000).selectExpr(
+        "'mac' machine", "concat('/home/', repeat('x', 40), id) path", "id entry_id", "'file' kind", "id logical_size",
+        "timestamp_seconds(id) modified", "named_struct('residency', 'local') cloud",
+    )
+    moves = observed.selectExpr("entry_id seq", "machine", "path from_path", "cast(null as string) content")
+    troubled = carry._trouble_at_source(moves, observed, None, None).where("own is null and source.entry_id = seq")
+    assert len(troubled.collect()) == 100_000
+    final = troubled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in final and "BroadcastExchange" not in final
