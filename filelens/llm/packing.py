@@ -38,7 +38,8 @@ CAPACITY = 2048
 GROUPS = 60  # sizes that long pieces are rounded to
 LONG = 4  # pieces above capacity / LONG are long
 COLUMNS = 400  # configurations that are generated at most; a later one would be better by little
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 250_000, 64
+STRETCH = 500_000  # characters of text that are encoded together
 _SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~].*)", re.S)
 _SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 END = b"\0\0\0\0"
@@ -130,6 +131,18 @@ def token_ids(texts: list[str], path: str | None = None) -> list[bytes]:
     return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Where stretches of less than ``STRETCH`` characters, or of a single text, begin and end."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < STRETCH):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and an
     end token, cut only where longer than ``capacity``."""
@@ -137,12 +150,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = tx.column(batch, "doc_id"), [t or "" for t in tx.column(batch, "text")]
-            at = 0
-            while at < len(texts):  # a bounded stretch of text at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
-                    size += len(texts[end])
-                    end += 1
+            for at, end in stretches(texts):
                 rows = []
                 for doc, own in zip(ids[at:end], token_ids(texts[at:end], tokenizer), strict=True):
                     own += END
@@ -156,7 +164,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                 if with_ids:
                     arrays, names = [*arrays, pa.array(columns[5], pa.binary())], [*names, "ids"]
                 yield pa.record_batch(arrays, names)
-                at = end
         # The worker goes on to other tasks, of other operators too.
         _words.clear()
         _tokenizers.clear()

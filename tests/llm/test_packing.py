@@ -124,3 +124,11 @@ def test_configurations_reach_the_optimum():
 def test_groups_have_equal_cardinality():
     groups = packing.groups_of_equal_size({10: 7, 9: 1, 5: 4}, 4)
     assert [sum(n for _, n in g) for g in groups] == [3, 3, 3, 3] and groups[0] == [[10, 3]]
+
+
+def test_a_worker_encodes_a_bounded_stretch_at_a_time():
+    sizes = [10, 0, 400_000, 99_990, 300_000, 2_000_000, 5, 0]
+    found = list(packing.stretches(["x" * n for n in sizes]))
+    assert [i for at, end in found for i in range(at, end)] == list(range(len(sizes)))
+    assert all(end == at + 1 or sum(sizes[at:end]) < 500_000 for at, end in found)
+    assert not list(packing.stretches([]))

@@ -49,6 +49,15 @@ def test_each_stage_on_its_own_input(spark, given):
     check(rows, [(r.doc_id, r.text) for r in seen[4]], 2048)
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_each_stage_alone_asks_for_small_batches(spark, given, name, stage):
+    """The stages are also run one by one, and executors keep what a large batch took."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(rows)
+    stage(spark, given("documents").limit(20), SF_DIR)
+    assert int(spark.conf.get(rows)) == corpus_pipeline.BATCH_ROWS
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLE))
 def test_matches_its_sql(spark, key):
     from parity.check import _rows, connect
